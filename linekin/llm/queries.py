@@ -49,5 +49,11 @@ SELECT doc_id, size, source_size, target, CAST(passes * size AS BIGINT) AS taken
 """
 
 
-QUERIES: dict[str, Query] = {"op4_mix_sources": op4_mix_sources}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linekin.llm.quality import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {"op4_mix_sources": op4_mix_sources, "op10_quality": op10_quality}
 SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL}
