@@ -55,5 +55,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {"op4_mix_sources": op4_mix_sources, "op10_quality": op10_quality}
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linekin.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linekin.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES: dict[str, Query] = {"op4_mix_sources": op4_mix_sources, "op10_quality": op10_quality, "op2_pii": op2_pii, "op8_html_text": op8_html_text}
 SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL}
