@@ -73,5 +73,36 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op4_mix_sources": op4_mix_sources, "op10_quality": op10_quality, "op2_pii": op2_pii, "op8_html_text": op8_html_text, "op1_near_duplicates": op1_near_duplicates}
-SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL}
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from linekin.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linekin.llm.near_vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT p.a, r.c FROM r JOIN p ON p.b = r.a),
+k AS (SELECT a, min(c) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, k.component_id, e.vec_id = k.component_id AS kept
+FROM embeddings e JOIN k ON k.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
+QUERIES: dict[str, Query] = {"op4_mix_sources": op4_mix_sources, "op10_quality": op10_quality, "op2_pii": op2_pii, "op8_html_text": op8_html_text, "op1_near_duplicates": op1_near_duplicates, "op3_nearest_vectors": op3_nearest_vectors, "op9_near_vectors": op9_near_vectors}
+SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op9_near_vectors": OP9_SQL}
