@@ -8,9 +8,9 @@ shingle reaches gives none.
 
 Candidates. A bucket's hub is the member that shares most bucket places with others; every member is compared with
 its hub, which is linear in the bucket however large it is. Verified links are contracted to components; only buckets
-that still hold several components are compared further, members of different components only: small ones pair by
-pair, large ones in tiles of sketches, whose tasks hand on only the pairs of different components that pass the
-estimate. No cap: every pair that shares a bucket ends up in one component or is compared.
+that still hold several components are compared further, in tiles of sketches, whose tasks hand on only the pairs of
+different components that pass the estimate. No cap: every pair that shares a bucket ends up in one component or is
+compared.
 
 Comparison. The share of equal registers, less the expected number of chance collisions of compressed registers,
 estimates the Jaccard similarity; a pair that may reach the threshold (``MARGIN`` standard deviations) is verified on the
@@ -36,14 +36,16 @@ from linekin.llm.components import components
 WORDS = 5
 #: Similarity of a link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-GROUPS, BUCKETS, MANTISSA = 8, 16, 10
+GROUPS, BUCKETS, MANTISSA = 8, 32, 10
 REGISTERS = GROUPS * BUCKETS
+#: Buckets of the finer sketches that large and tangled buckets are compared by.
+FINE = 64
 BANDS, ROWS = 25, 5
-MARGIN = 4.5
+MARGIN = 3.2
 #: Constant of the expected chance collisions of a HyperMinHash sketch, as published.
 COLLISIONS = 0.169919487159739093975315012348630288992889
-#: Members of a bucket that are compared pair by pair after the hub; larger ones go in tiles of TILE.
-SMALL, TILE = 16, 1024
+#: Members of a block of a bucket; two blocks are compared in one task.
+TILE = 1024
 
 
 def shingles(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,15 +88,16 @@ def _leading_zeros(v: np.ndarray) -> np.ndarray:
     return n
 
 
-def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def sketches(values: np.ndarray, bounds: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """16-bit registers (leading zeros and mantissa, plus one; 0: no shingle) of each set."""
     n = len(bounds) - 1
     owner = np.repeat(np.arange(n), np.diff(bounds))
-    lows = np.full(n * REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    bits = np.uint64(BUCKETS.bit_length() - 1)
+    registers = GROUPS * buckets
+    lows = np.full(n * registers, np.iinfo(np.uint64).max, np.uint64)
+    bits = np.uint64(buckets.bit_length() - 1)
     for g in range(GROUPS):
         h = mixed(values, 101 + g)
-        place = owner * REGISTERS + g * BUCKETS + (h >> (np.uint64(64) - bits)).astype(np.int64)
+        place = owner * registers + g * buckets + (h >> (np.uint64(64) - bits)).astype(np.int64)
         np.minimum.at(lows, place, (h << bits) | np.uint64(8))
     found = lows != np.iinfo(np.uint64).max
     v = lows[found]
@@ -102,12 +105,12 @@ def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     mantissa = (v << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
     out = np.zeros(len(lows), np.uint16)
     out[found] = (zeros << MANTISSA).astype(np.uint16) + mantissa.astype(np.uint16) + np.uint16(1)
-    return out.reshape(n, REGISTERS)
+    return out.reshape(n, registers)
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
     """A key for each band, 0 where no register of the band is filled; its registers lie in different hash functions."""
-    rows = registers[:, np.arange(BANDS)[:, None] + BANDS * np.arange(ROWS)].astype(np.uint64)
+    rows = registers[:, 2 * (np.arange(BANDS)[:, None] + BANDS * np.arange(ROWS))].astype(np.uint64)
     total = np.full(rows.shape[:2], 0, np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         total = mixed(total * np.uint64(65599) + rows[:, :, k], 3)
@@ -119,7 +122,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     either = ((a > 0) | (b > 0)).sum(-1)
     equal = ((a == b) & (a > 0)).sum(-1)
     ratio = np.maximum(na, nb) / np.maximum(np.minimum(na, nb), 1)
-    chance = GROUPS * COLLISIONS * BUCKETS / 2**MANTISSA * 4 * ratio / (1 + ratio) ** 2
+    chance = COLLISIONS * a.shape[-1] / 2**MANTISSA * 4 * ratio / (1 + ratio) ** 2
     either = np.maximum(either, 1)
     return np.maximum(equal - chance, 0) / either, np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / either)
 
@@ -151,8 +154,8 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, k1 long, k2 long, registers binary, bands array<long>")
 
 
-def _registers(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+def _registers(column: pa.Array, count: int = REGISTERS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, count)
 
 
 def _estimated(pairs: DataFrame) -> DataFrame:
@@ -199,20 +202,27 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _tiled(members: DataFrame) -> DataFrame:
-    """Pairs of different components in large buckets: sketches of two blocks of a bucket meet in one task."""
+    """Pairs of different components that share a bucket and may reach the threshold by their fine sketches.
+
+    Two blocks of a bucket meet in one task. Of the buckets that a pair shares, the one with the least key hands it on.
+    """
     blocks = F.ceil(F.col("n") / TILE).cast("int")
     rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "registers")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "fine", "bands")
 
     def run(t: pa.Table) -> pa.Table:
         block, rep, comp, size = (t.column(c).to_numpy() for c in ("block", "rep", "component", "n_shingles"))
-        regs = _registers(t.column("registers"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        regs = _registers(t.column("fine"), GROUPS * FINE)
+        keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), BANDS)
+        key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out: list[np.ndarray] = []
         for x in left:
             some = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | (i != j))]
+            if len(some):
+                shared = (keys[some] == keys[x]) & (keys[x] != 0) & (keys[x] < key)
+                some = some[~shared.any(1)]
             if len(some):
                 some = some[may_reach(regs[x][None], regs[some], size[x], size[some])]
                 out.append(np.stack([np.minimum(rep[x], rep[some]), np.maximum(rep[x], rep[some])], 1))
@@ -246,13 +256,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # What the hubs left: members of one bucket in different components.
     labelled = members.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = stored(labelled.join(split, "key").where("n > 2"), "open")
-    small = open_.where(F.col("n") <= SMALL).select("key", "rep", "component")
-    other = small.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    pairs = small.withColumnRenamed("rep", "a").join(other, "key").where("a < b and component <> cb").select("a", "b").distinct()
-    pairs = _estimated(_with_sketches(pairs, reps))
-    large = open_.where(F.col("n") > SMALL).join(reps.select("rep", "n_shingles", "registers"), "rep")
-    rest = stored(pairs.union(_tiled(large)).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    open_ = labelled.drop("bands").join(split, "key").where("n > 2")
+    open_ = open_.join(texts.select("rep", "n_shingles", "fine", "bands"), "rep")
+    rest = stored(_tiled(open_).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.union(stored(_verified(rest, texts), "verified"))
     top = components(links)
     by_set = reps.select("k1", "k2", "n_shingles", "rep").join(top.withColumnRenamed("node", "rep"), "rep", "left")
@@ -267,10 +273,21 @@ FEW = 200_000
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, text) of the wanted ids. Up to ``FEW`` ids go to every task, more are joined by a shuffle."""
+    """(rep, text, n_shingles, fine sketch, bands) of the wanted ids. Up to ``FEW`` ids go to every task, more are joined by a shuffle."""
     ids = stored(ids, "wanted")
     wanted = ids.withColumnRenamed("rep", "doc_id")
     wanted = F.broadcast(wanted) if ids.count() <= FEW else wanted
     # Copies of a row count once; an id with several texts keeps them all, and links by any.
     found = docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("h"))
-    return found.dropDuplicates(["rep", "h"]).select("rep", "text")
+    found = found.dropDuplicates(["rep", "h"]).select("rep", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, raw, at in text_chunks(batch.column(1)):
+                values, bounds = shingles(raw, at)
+                fine = pa.array([r.tobytes() for r in sketches(values, bounds, FINE)], pa.binary())
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sketches(values, bounds)).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+                part = batch.slice(first, len(at) - 1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(bounds)), fine, keys], names=["rep", "text", "n_shingles", "fine", "bands"])
+
+    return found.mapInArrow(run, "rep long, text string, n_shingles long, fine binary, bands array<long>")
