@@ -80,6 +80,15 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from linekin.llm.lines import without_repeats
+
+    rows = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", "n_links", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linekin.llm.sstable import read_back, written
 
@@ -123,5 +132,5 @@ FROM embeddings e JOIN k ON k.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
 
-QUERIES: dict[str, Query] = {"op4_mix_sources": op4_mix_sources, "op10_quality": op10_quality, "op2_pii": op2_pii, "op8_html_text": op8_html_text, "op1_near_duplicates": op1_near_duplicates, "op3_nearest_vectors": op3_nearest_vectors, "op9_near_vectors": op9_near_vectors, "op7_sentencepiece": op7_sentencepiece, "op6_token_shards": op6_token_shards}
+QUERIES: dict[str, Query] = {"op4_mix_sources": op4_mix_sources, "op10_quality": op10_quality, "op2_pii": op2_pii, "op8_html_text": op8_html_text, "op1_near_duplicates": op1_near_duplicates, "op3_nearest_vectors": op3_nearest_vectors, "op9_near_vectors": op9_near_vectors, "op7_sentencepiece": op7_sentencepiece, "op6_token_shards": op6_token_shards, "op5_line_dedup": op5_line_dedup}
 SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op9_near_vectors": OP9_SQL}
