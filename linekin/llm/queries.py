@@ -134,3 +134,4 @@ FROM embeddings e JOIN k ON k.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 
 QUERIES: dict[str, Query] = {"op4_mix_sources": op4_mix_sources, "op10_quality": op10_quality, "op2_pii": op2_pii, "op8_html_text": op8_html_text, "op1_near_duplicates": op1_near_duplicates, "op3_nearest_vectors": op3_nearest_vectors, "op9_near_vectors": op9_near_vectors, "op7_sentencepiece": op7_sentencepiece, "op6_token_shards": op6_token_shards, "op5_line_dedup": op5_line_dedup}
 SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op9_near_vectors": OP9_SQL}
+
