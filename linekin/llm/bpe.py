@@ -27,8 +27,8 @@ def pattern() -> str:
     return PATTERN.format(**{k: "".join(f"\\u{ord(c):04x}" for c in chars) for k, chars in kinds.items()})
 
 
-#: Remembered cuts, at most, and their longest.
-REMEMBERED, SHORT = 600_000, 40
+#: Cuts of one generation of the memory (the one before is kept beside it), and the longest.
+REMEMBERED, SHORT = 900_000, 40
 
 
 class Encoder:
@@ -42,6 +42,7 @@ class Encoder:
         self.cuts = re.compile(pattern()).findall
         self.plain = re.compile(PLAIN).fullmatch
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.kind = np.dtype(f"<u{self.width}")
 
     def _learn(self, cuts: list[str]) -> None:
@@ -63,9 +64,9 @@ class Encoder:
         """Ids of each text, without added ids."""
         out: list[np.ndarray | None] = [None] * len(texts)
         rest: list[int] = []
-        memo = self.memo
-        if len(memo) > REMEMBERED:
-            memo.clear()
+        if len(self.memo) > REMEMBERED:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
         cut: dict[int, list[str]] = {}
         new: set[str] = set()
         for i, text in enumerate(texts):
@@ -76,7 +77,9 @@ class Encoder:
             new.update(own)
         new -= memo.keys()
         long_ = {c for c in new if len(c) > SHORT}
-        self._learn(list(new))
+        known = new & old.keys()
+        memo.update((c, old[c]) for c in known)
+        self._learn(list(new - known))
         for i, own in cut.items():
             out[i] = np.frombuffer(b"".join(map(memo.__getitem__, own)), self.kind)
         for c in long_:
