@@ -29,7 +29,7 @@ from linekin.llm.components import components
 
 MIN_CHARS = 20
 MAX_EDITS = 1
-HOT = 8
+HOT = 16
 #: Rows that may be sent to every task, and the numbers in them.
 FEW, FEW_NUMBERS = 250_000, 4_000_000
 
