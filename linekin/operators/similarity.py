@@ -111,7 +111,7 @@ def top_neighbours(pairs: DataFrame, k: int = 50, dedup: bool = True, exclude_sa
         gone = gone | (F.col("mtype") == "w")
     if exclude_adjacent:
         gone = gone | ((F.col("mtype") == "w") & (F.abs(F.col("idx_a") - F.col("idx_b")) <= 1))
-    best = [F.desc("score"), F.col("dst")]
+    best = [F.desc(F.round("score", 9)), F.col("dst")]  # sums in another order differ in the last digits
     rows = pairs.where(~gone) if exclude_first else pairs
     if dedup:
         rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy(*best))).where(F.col("_r") <= over * k)
