@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linekin.llm.common import stored
-from linekin.llm.components import components
+from linekin.operators.graph import components
 
 MIN_CHARS = 20
 MAX_EDITS = 1
@@ -208,13 +208,14 @@ def without_repeats(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     found = occ.select("doc_id", "pos", "h1", "h2").join(_few(stored(marked, "line-classes")), ["h1", "h2"], "left")
     goes = F.col("top").isNotNull() & (_place() != F.col("top"))
     by_doc = found.groupBy("doc_id").agg(F.countDistinct("pos").alias("n_lines"), F.collect_set(F.when(goes, F.col("pos"))).alias("gone"), F.coalesce(F.sum("links"), F.lit(0)).cast("long").alias("n_links"))
-    by_doc = stored(by_doc.withColumnRenamed("doc_id", "_id"), "line-verdicts")
-    size = by_doc.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("gone")).alias("m")).first()
+    by_doc = stored(by_doc.toDF("__id", "__lines", "__gone", "__links"), "line-verdicts")
+    size = by_doc.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("__gone")).alias("m")).first()
     if size["n"] <= FEW * 2 and (size["m"] or 0) <= FEW_NUMBERS:
         by_doc = F.broadcast(by_doc)
-    out = docs.join(by_doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("_id"), "left")
+    out = docs.join(by_doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__id"), "left")
     lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.size("gone") > 0, F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).otherwise(F.col("text"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    text = F.when(F.size("__gone") > 0, F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).otherwise(F.col("text"))
     kept = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_links")]
-    return out.select(*kept, F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    counts = [F.coalesce("__lines", F.lit(0)), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")), F.coalesce("__links", F.lit(0))]
+    return out.select(*kept, *[c.cast("long").alias(n) for c, n in zip(counts, ("n_lines", "n_removed", "n_links"), strict=True)])
