@@ -41,12 +41,12 @@ BY_TAG = {"nav": "menu", "menu": "menu", "footer": "foot", "header": "head", "as
 BY_WORD = {
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar tabs toc skip",
     "foot": "footer foot copyright colophon legal",
-    "head": "masthead banner topbar siteheader",
+    "head": "header masthead banner topbar siteheader",
     "side": "sidebar side widget aside related recommended recommendations popular trending complementary rail",
     "notice": "cookie cookies consent notice notices alert gdpr popup modal overlay toast disclaimer paywall",
     "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion adsense dfp banner-ad",
     "form": "newsletter subscribe subscription signup login search searchbox form",
-    "comment": "comment comments commentlist reply replies respond disqus discussion reader-comments feedback reviews",
+    "comment": "comment comments usercomments commentlist reply replies respond disqus discussion reader-comments feedback reviews",
     "share": "share sharing social follow tags byline-meta",
     "article": "article content main post entry story body maincontent articlebody post-content entry-content text",
 }
