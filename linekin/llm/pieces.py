@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Remembered stretches, at most, and their longest.
-REMEMBERED, SHORT = 800_000, 40
+#: Remembered stretches, at most, and their longest; remembered pairs, at most.
+REMEMBERED, SHORT, PAIRS = 300_000, 40, 500_000
 #: Places between two looks for a common boundary.
 LOOK = 64
 _UNIT = re.compile(r" +[^ ]*")
@@ -232,6 +232,8 @@ class Pieces:
             pass
         if len(memo) > REMEMBERED:
             memo.clear()
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
         out = []
         for unit in units:
             ids = memo.get(unit)
