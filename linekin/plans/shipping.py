@@ -1,4 +1,4 @@
-"""Hands the package to Python workers, so that functions that run there can be imported on every machine."""
+"""Readies a session: hands the package to Python workers, so that functions that run there can be imported on every machine."""
 
 from __future__ import annotations
 
@@ -10,10 +10,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
+#: Rows of a batch for Python workers: rows may be long texts, and a worker holds a batch or two at once.
+BATCH_ROWS = "1000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds this package, as a zip file, to the files that Spark sends to its workers, once an application."""
+    """Adds this package, as a zip file, to the files that Spark sends to its workers, once an application.
+
+    Batches are made smaller where the session has Spark's default; another value stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SENT:
         return
