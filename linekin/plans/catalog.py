@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from linekin.functions import text as X
 from linekin.functions.english import english_lemma, normalize_translation
 from linekin.functions.unicode import html_unescape
-from linekin.operators import ablation, cluster, compare, cross, dense, evaluate, fuse, lemma, sample, stats, themes
+from linekin.operators import ablation, cluster, compare, cross, dense, evaluate, fuse, lemma, lookup, sample, stats, themes
 from linekin.operators import similarity as S
 from linekin.plans.storage import stored
 from linekin.sources.poems import split_verses, verses
@@ -782,3 +782,49 @@ def first_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.first_of_each(by, "event_type", "user_id")
 
 
+
+
+# ---- look-ups -----------------------------------------------------------------------------------------------------------------
+
+_META = """vm AS (SELECT p_partkey AS vid, 'v' || CAST(p_size % 5 AS VARCHAR) AS lang, p_type AS place FROM part WHERE p_partkey % 3 <> 0), qm AS (SELECT p_brand AS poem_id, p_partkey AS vid, 'p' || CAST(p_size % 5 AS VARCHAR) AS lang, p_name AS place FROM part WHERE p_partkey % 7 = 1)"""
+
+
+@query(f"WITH {M}, {_META}, f AS (SELECT poem_id, arg_min(lang, vid) AS lang, arg_min(place, vid) AS place FROM qm GROUP BY 1) SELECT cluster_id, pm.vid, coalesce(vm.lang, f.lang, 'unknown') AS lang, coalesce(vm.place, f.place, '') AS place FROM pm LEFT JOIN vm ON vm.vid = pm.vid LEFT JOIN f ON f.poem_id = pm.poem_id")
+def metadata_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    own = p.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("vid"), F.concat(F.lit("v"), (F.col("p_size") % 5).cast("string")).alias("lang"), F.col("p_type").alias("place"))
+    poem = p.where("p_partkey % 7 = 1").select(F.col("p_brand").alias("poem_id"), F.col("p_partkey").alias("vid"), F.concat(F.lit("p"), (F.col("p_size") % 5).cast("string")).alias("lang"), F.col("p_name").alias("place"))
+    return lookup.with_fallback(members(spark, sf_dir).select("cluster_id", "vid", "poem_id"), own, poem).select("cluster_id", "vid", "lang", "place")
+
+
+@query(f"WITH {M}, g AS (SELECT poem_id, bool_or(lang = 'l') AS l, bool_or(lang = 'r') AS r FROM pm GROUP BY 1) SELECT CASE WHEN l AND r THEN 'mixed' WHEN l THEN 'l' WHEN r THEN 'r' ELSE 'unknown' END AS languages, count(*) AS poems FROM g GROUP BY 1")
+def poem_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.poem_languages(members(spark, sf_dir), "l", "r")
+
+
+@query("""WITH a AS (SELECT s_suppkey AS id, s_nationkey AS size, s_name AS name FROM supplier WHERE s_suppkey % 5 <> 0), b AS (SELECT s_suppkey AS id, s_nationkey + CAST(s_suppkey % 4 = 0 AS INT) AS size, 'new' AS name FROM supplier WHERE s_suppkey % 7 <> 0)
+SELECT coalesce(a.id, b.id) AS id, coalesce(a.size, b.size) AS size, coalesce(b.name, a.name) AS name, CASE WHEN b.id IS NULL THEN 'no correction' WHEN a.id IS NULL THEN 'no row' WHEN a.size <> b.size THEN 'size differs' END AS problem FROM a FULL JOIN b ON a.id = b.id""")
+def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    a = s.where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("size"), F.col("s_name").alias("name"))
+    b = s.where("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") + (F.col("s_suppkey") % 4 == 0).cast("int")).alias("size"), F.lit("new").alias("name"))
+    return lookup.corrected(a, b, "id", "size", ["name"])
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT DISTINCT o_custkey AS k FROM orders) WHERE k NOT IN (SELECT c_custkey FROM customer)) AS missing, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS extra")
+def id_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    return lookup.same_ids(o, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k")
+
+
+@query(f"WITH {_E}, o AS (SELECT vec_id, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) - 1 AS i FROM embeddings QUALIFY i < 400), h AS (SELECT count(*) // 2 AS h FROM o) SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(u.u, v.u), 6) AS score FROM o x JOIN h ON x.i < h.h JOIN o y ON y.i = x.i + h.h JOIN un u ON u.vec_id = x.vec_id JOIN un v ON v.vec_id = y.vec_id")
+def random_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = stored(_vectors(spark, sf_dir), "centred")
+    pairs = lookup.random_pairs(v, "vid", 200)
+    out = pairs.join(v.toDF("a", "va"), "a").join(v.toDF("b", "vb"), "b")
+    return out.select("a", "b", F.round(dense.dot(F.col("va"), F.col("vb")), 6).alias("score"))
+
+
+@query(f"WITH {V} SELECT poem_id, count(*) AS verses FROM verses GROUP BY poem_id")
+def verses_per_poem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return themes.verse_counts(lines(spark, sf_dir))

@@ -88,6 +88,12 @@ def with_language(rows: DataFrame, to_left: Iterable[str] = (), to_right: Iterab
     return rows.withColumn("corpus", corpus).withColumn("lang", F.when(a, left).when(b, right).otherwise(lang))
 
 
+def read_overrides(spark: SparkSession, path: str, field: str = "finnish_pids") -> DataFrame:
+    """(poem_id) of a JSON document whose ``field`` lists objects with a ``pid``."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"{field} array<struct<pid: string>>")[field].alias("l"))
+    return rows.select(F.explode("l.pid").alias("poem_id")).distinct()
+
+
 def flipped(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     """Metadata (poem_id, lang, ...) with overrides (poem_id, from_lang, to_lang): flips only where from_lang is stored."""
     o = F.broadcast(overrides.select(F.col("poem_id").alias("_p"), "from_lang", "to_lang")) if overrides.count() <= 10_000 else overrides.select(F.col("poem_id").alias("_p"), "from_lang", "to_lang")

@@ -9,10 +9,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linekin.functions.text import normalize_word  # noqa: F401  imported as the extension point of tokens()
+from linekin.functions.text import ET_OVERRIDES
 from linekin.operators import ablation, cluster, cross, dense, evaluate, fuse, lemma, sample, stats, themes
 from linekin.operators import similarity as S
 from linekin.operators.graph import components
+from linekin.operators.lookup import lowered_min_df
 from linekin.sources import poems, sinks
 
 
@@ -255,3 +256,9 @@ def test_files_round_trip(spark, tmp_path):
     assert {k: d.count() for k, d in sinks.views(long_).items()} == {"nested": 2, "members": 3, "clusters": 2}
     sinks.write_cluster_csvs(long_, str(tmp_path / "c"), 1)
     assert [p.name for p in (tmp_path / "c").glob("cluster=*")] == ["cluster=0001_T_a"]
+
+
+def test_override_lists(spark, tmp_path):
+    (tmp_path / "o.json").write_text(json.dumps({"finnish_pids": [{"pid": "ERA 1", "x": 1}, {"pid": "H 2"}]}))
+    assert {x.poem_id for x in poems.read_overrides(spark, str(tmp_path / "o.json")).collect()} == {"ERA 1", "H 2"}
+    assert len(set(ET_OVERRIDES)) == 35 and "JR 03705" in ET_OVERRIDES and lowered_min_df(5, 100) == 2 and lowered_min_df(5, None) == 5
