@@ -132,6 +132,36 @@ FROM embeddings e JOIN k ON k.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
 
+#: Components by recursion over links (a, b): the smallest id that is reachable.
+_REACH = "r AS (SELECT k AS a, k AS c FROM nodes UNION SELECT p.a, r.c FROM r JOIN p ON p.b = r.a), top AS (SELECT a, min(c) AS c FROM r GROUP BY a)"
+
+OP1_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS l FROM d),
+n AS (SELECT doc_id, len(l) AS n FROM s), f AS (SELECT doc_id, unnest(l) AS x FROM s),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.x = b.x AND a.doc_id <> b.doc_id JOIN n u ON u.doc_id = a.doc_id JOIN n v ON v.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, u.n, v.n HAVING 100 * count(*) >= 75 * (u.n + v.n - count(*))),
+nodes AS (SELECT doc_id AS k FROM documents), {_REACH}
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, top.c AS component_id, n.doc_id = top.c AS kept FROM n JOIN top ON top.a = n.doc_id
+"""
+
+OP5_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents),
+o AS (SELECT doc_id, i AS pos, x[i + 1] AS line, doc_id::HUGEINT * 4294967296 + i AS loc FROM t, unnest(range(len(x))) AS q(i) WHERE length(x[i + 1]) >= 20),
+u AS MATERIALIZED (SELECT line, length(line) AS n, min(loc) AS k FROM o GROUP BY line), b AS (SELECT *, n AS m FROM u UNION ALL SELECT *, n - 1 FROM u),
+c AS (SELECT u.k AS k1, u.line AS l1, u.n AS n1, b.k AS k2, b.line AS l2, b.n AS n2 FROM u JOIN b ON b.m = u.n AND left(b.line, u.n // 2) = left(u.line, u.n // 2) AND b.k <> u.k
+  UNION SELECT u.k, u.line, u.n, b.k, b.line, b.n FROM u JOIN b ON b.m = u.n AND right(b.line, (u.n + 1) // 2 - 1) = right(u.line, (u.n + 1) // 2 - 1) AND b.k <> u.k),
+g AS (SELECT *, list_max(list_filter(range(0, n1 + 1), lambda i: left(l1, i) = left(l2, i))) AS cp FROM c),
+e AS (SELECT k1, k2 FROM g WHERE CASE WHEN n1 = n2 THEN substring(l1, cp + 2) = substring(l2, cp + 2) ELSE substring(l1, cp + 1) = substring(l2, cp + 2) END),
+p AS MATERIALIZED (SELECT k1 AS a, k2 AS b FROM e UNION SELECT k2, k1 FROM e),
+nodes AS (SELECT k FROM u), {_REACH},
+deg AS (SELECT a, count(*) AS links FROM p GROUP BY a),
+v AS (SELECT o.doc_id, o.pos, o.loc <> top.c AS gone, coalesce(links, 0) AS links FROM o JOIN u ON u.line = o.line JOIN top ON top.a = u.k LEFT JOIN deg ON deg.a = u.k),
+s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sum(links) AS n_links, list(pos) FILTER (gone) AS gone FROM v GROUP BY doc_id),
+w AS (SELECT t.doc_id, n_lines, n_removed, n_links, CASE WHEN n_removed > 0 THEN coalesce(array_to_string(list_transform(list_filter(range(len(x)), lambda i: NOT list_contains(s.gone, i)), lambda i: x[i + 1]), chr(10)), '') ELSE text END AS text FROM t LEFT JOIN s ON s.doc_id = t.doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, length(text) AS n_chars, md5(text) AS text_md5 FROM w
+"""
+
+
 QUERIES: dict[str, Query] = {"op4_mix_sources": op4_mix_sources, "op10_quality": op10_quality, "op2_pii": op2_pii, "op8_html_text": op8_html_text, "op1_near_duplicates": op1_near_duplicates, "op3_nearest_vectors": op3_nearest_vectors, "op9_near_vectors": op9_near_vectors, "op7_sentencepiece": op7_sentencepiece, "op6_token_shards": op6_token_shards, "op5_line_dedup": op5_line_dedup}
-SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op9_near_vectors": OP9_SQL}
+SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op9_near_vectors": OP9_SQL, "op1_near_duplicates": OP1_SQL, "op5_line_dedup": OP5_SQL}
 
