@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,6 +159,9 @@ def _context(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+ROOT: tuple[str, frozenset[str], int, int, str] = ("", frozenset(), 0, 0, "")
+
+
 class Block:
     __slots__ = ("parts", "contexts", "parent", "depth", "heading", "item", "linked")
 
@@ -172,11 +175,18 @@ class Block:
 
 def blocks(page: str) -> list[tuple[Block, str]]:
     """The non-empty blocks of a page with their texts, in page order."""
-    stack: list[tuple[str, frozenset[str], int]] = []  # tag, contexts in it, number of the element
+    # Open elements: tag, contexts in it, number and depth of the innermost group, tag of the innermost block.
+    stack: list[tuple[str, frozenset[str], int, int, str]] = []
+    open_: Counter[str] = Counter()
     out: list[tuple[Block, str]] = []
     now: Block | None = None
     number, links, at, n = 0, 0, 0, len(page)
-    nothing: frozenset[str] = frozenset()
+    last = page.rfind(">")
+
+    def cut(k: int) -> None:
+        for s in stack[k:]:
+            open_[s[0]] -= 1
+        del stack[k:]
 
     def end() -> None:
         nonlocal now
@@ -189,26 +199,24 @@ def blocks(page: str) -> list[tuple[Block, str]]:
     def say(part: str) -> None:
         nonlocal now
         if now is None:
-            holder = next((s for s in reversed(stack) if s[0] in BLOCK), None)
-            tag = holder[0] if holder else ""
-            group = [s for s in stack if s[0] in INNERMOST]
-            heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-            now = Block(stack[-1][1] if stack else nothing, group[-1][2] if group else -1, len(group), heading, tag in ("li", "td", "th", "dd", "dt"))
+            _, contexts, group, depth, tag = stack[-1] if stack else ROOT
+            now = Block(contexts, group, depth, tag in ("h1", "h2", "h3", "h4", "h5", "h6"), tag in ("li", "td", "th", "dd", "dt"))
         now.parts.append(part)
         if links:
             now.linked += len(part)
 
     while at < n:
-        open_ = page.find("<", at)
-        if open_ < 0:
+        edge = page.find("<", at)
+        if edge < 0:
             say(page[at:])
             break
-        if open_ > at:
-            say(page[at:open_])
-        m = _TOKEN.match(page, open_) or _LOOSE.match(page, open_)
+        if edge > at:
+            say(page[at:edge])
+        # After the last ">" nothing but an open comment can be markup.
+        m = _TOKEN.match(page, edge) or _LOOSE.match(page, edge) if edge < last or page.startswith("<!--", edge) else None
         if not m:
             say("<")
-            at = open_ + 1
+            at = edge + 1
             continue
         at = m.end()
         tag = m[2]
@@ -220,9 +228,9 @@ def blocks(page: str) -> list[tuple[Block, str]]:
                 links = max(0, links - 1)
             if tag in BLOCK:
                 end()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if open_[tag] else ():
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    cut(k)
                     break
                 if tag not in BLOCK and stack[k][0] in BLOCK:
                     break
@@ -243,7 +251,7 @@ def blocks(page: str) -> list[tuple[Block, str]]:
             end()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, ()):
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] in INNERMOST:
                     break
@@ -254,9 +262,12 @@ def blocks(page: str) -> list[tuple[Block, str]]:
             continue
         if tag in BLOCK or m[3]:
             own = _context(tag, m[3])
-            above = stack[-1][1] if stack else nothing
-            number += 1
-            stack.append((tag, above.union(own) if own else above, number))
+            _, above, group, depth, holder = stack[-1] if stack else ROOT
+            if tag in INNERMOST:
+                number += 1
+                group, depth = number, depth + 1
+            stack.append((tag, above.union(own) if own else above, group, depth, tag if tag in BLOCK else holder))
+            open_[tag] += 1
     end()
     return out
 
