@@ -28,7 +28,9 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:
 
 # HTML element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title button head".split())
+RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title button".split())
+#: Of these, the ones that run to the end of the page when they are never closed.
+OPEN_ENDED = frozenset("script style title textarea".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -245,7 +247,7 @@ def blocks(page: str) -> list[tuple[Block, str]]:
             if tag in BLOCK:
                 end()
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
+            at = close.end() if close else n if tag in OPEN_ENDED else at
             continue
         if tag in BLOCK:
             end()
