@@ -33,6 +33,8 @@ WEIGHTS = (5, 2, 1)
 #: Target words over all words, as a fraction.
 SHARE = (3, 2)
 CAP = 2
+#: Rows of ids and numbers that may be sent to every task, at most.
+FEW = 400_000
 #: Slices of a source's order, from the first hex digits of the md5.
 SLICES, _DIGITS, _HEX = 256, 2, 16
 #: Slopes of the weight schedules, in turn: early, late, flat.
@@ -135,7 +137,9 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFr
     names = docs.columns
     # Rows are matched by id; copies of an id are told apart by source and size, and equal ones share their passes.
     picked = mix(docs, weights).where("passes > 0").groupBy("doc_id", "source", "size").agg(F.sum("passes").alias("_passes"), F.min("position").alias("_position"), F.count(F.lit(1)).alias("_same"))
-    picked = picked.toDF("_id", "_source", "_size", "_passes", "_position", "_same")
+    picked = stored(picked.toDF("_id", "_source", "_size", "_passes", "_position", "_same"), "mix-picked")
+    # Few rows go to every task; more are joined by a shuffle of the texts.
+    picked = F.broadcast(picked) if picked.count() <= FEW else picked
     out = docs.withColumn("_sz", word_count(F.col("text"))).join(picked, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_sz") == F.col("_size")))
     out = out.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_passes") / F.col("_same")).cast("int"))))
     at = F.col("_position") + F.col("_pass") - 1
