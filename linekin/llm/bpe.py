@@ -68,22 +68,25 @@ class Encoder:
             self.old, self.memo = self.memo, {}
         memo, old = self.memo, self.old
         cut: dict[int, list[str]] = {}
-        new: set[str] = set()
+        every: set[str] = set()
         for i, text in enumerate(texts):
             if not self.plain(text):
                 rest.append(i)
                 continue
             cut[i] = own = self.cuts(text)
-            new.update(own)
-        new -= memo.keys()
-        long_ = {c for c in new if len(c) > SHORT}
-        known = new & old.keys()
-        memo.update((c, old[c]) for c in known)
-        self._learn(list(new - known))
+            every.update(own)
+        # The cuts of these texts in a dictionary of their own: it is small, so its look-ups stay in the CPU's cache.
+        near = {c: memo.get(c) for c in every}
+        new = [c for c, ids in near.items() if ids is None]
+        near.update((c, memo.setdefault(c, old[c])) for c in new if c in old)
+        new = [c for c in new if near[c] is None]
+        self._learn(new)
+        near.update((c, memo[c]) for c in new)
         for i, own in cut.items():
-            out[i] = np.frombuffer(b"".join(map(memo.__getitem__, own)), self.kind)
-        for c in long_:
-            del memo[c]
+            out[i] = np.frombuffer(b"".join(map(near.__getitem__, own)), self.kind)
+        for c in new:
+            if len(c) > SHORT:
+                del memo[c]
         if rest:
             for i, found in zip(rest, self.model.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
                 out[i] = np.array(found.ids, self.kind)

@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linekin.llm.bpe import Encoder, encoder
 from linekin.llm.common import new_path, stored
 
 BLOCK_BYTES, RESTART = 64 << 10, 16
@@ -44,6 +45,7 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"SSTTOK01"
 _FOOTER = struct.Struct("<QQQQQQBI8s")
 END_ID = 2
+GROUP_CHARS = 2_000_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -219,6 +221,20 @@ class Reader:
             yield from self._entries(self._block(k)[0], 0)
 
 
+def encoded(coder: Encoder, texts: list[str]) -> Iterator[np.ndarray]:
+    """Ids of the texts, encoded in groups of about ``GROUP_CHARS`` characters: a longer text is a group of its own."""
+    group: list[str] = []
+    size = 0
+    for text in texts:
+        if group and size + len(text) > GROUP_CHARS:
+            yield from coder.encode(group)
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield from coder.encode(group)
+
+
 def written(docs: DataFrame, path: str) -> DataFrame:
     """Encodes the documents with the tokenizer at ``path``, writes the shards and returns their list:
     (shard, file, first_id, last_id, n_docs, n_ids), after the files are complete."""
@@ -229,8 +245,6 @@ def written(docs: DataFrame, path: str) -> DataFrame:
         folder = f"file://{folder[5:]}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from linekin.llm.bpe import encoder
-
         coder = encoder(path)
         task = TaskContext.get()
         shard = task.partitionId()
@@ -242,14 +256,12 @@ def written(docs: DataFrame, path: str) -> DataFrame:
         with files.open_output_stream(draft) as out:
             writer = Writer(out, coder.width)
             for batch in batches:
-                for k in range(0, batch.num_rows, 200):
-                    part = batch.slice(k, 200)
-                    names = part.column(0).to_pylist()
-                    for name, ids in zip(names, coder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                        if not writer.entries:
-                            first = name
-                        last = name
-                        writer.add(key_of(name), np.append(ids, np.uint32(END_ID)))
+                names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+                for name, ids in zip(names, encoded(coder, texts), strict=True):
+                    if not writer.entries:
+                        first = name
+                    last = name
+                    writer.add(key_of(name), np.append(ids, np.uint32(END_ID)))
             writer.close()
         if not writer.entries:
             files.delete_file(draft)
