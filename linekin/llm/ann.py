@@ -14,7 +14,7 @@ product of the original vectors in double precision, ties by the smaller id.
 Recall against brute force, measured on the test tables: see the README; the parameters are those it was measured with.
 
 Vectors that are null, zero or hold null or non-finite components take no part (see ``valid_vectors``): as queries they
-have no rows. A query with fewer candidates than k has fewer rows. Repeated ids are one query each; extra columns are not
+have no rows. A query with fewer candidates than k has fewer rows. Repeated ids are one query each, and one of the k places each; extra columns are not
 read; an empty table gives no rows.
 """
 
@@ -111,7 +111,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, column: str = "embe
                 codes = axes(turned(x, t), 1)[:, 0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(codes, pa.int32()), *batch.columns], names=["t", "bucket", "vec_id", "vec"])
 
-    index = stored(valid.select("vec_id", "vec").mapInArrow(hashed, "t int, bucket int, vec_id long, vec binary"), "buckets")
+    index = stored(valid.dropDuplicates(["vec_id", "vec"]).select("vec_id", "vec").mapInArrow(hashed, "t int, bucket int, vec_id long, vec binary"), "buckets")
     # At most TABLES * 2 * width counts come to the driver.
     sizes = {(r["t"], r["bucket"]): r["count"] for r in index.groupBy("t", "bucket").count().toLocalIterator()}
     place = parts(sizes, TABLES, 2 * width)
@@ -148,6 +148,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, column: str = "embe
             bucket = vectors.column("bucket").to_numpy()
             order = np.argsort(bucket, kind="stable")
             bucket, ids, x = bucket[order], vectors.column("vec_id").to_numpy()[order], unpacked(vectors.column("vec"), dims)[order]
+            by_id = np.argsort(ids, kind="stable")
+            id_starts = np.flatnonzero(np.append(True, ids[by_id][1:] != ids[by_id][:-1]))
             for first in range(0, asked.num_rows, QUERY_ROWS):
                 some = asked.slice(first, QUERY_ROWS)
                 names, q, bound = some.column("query_id").to_numpy(), unpacked(some.column("vec"), dims), some.column("bound").to_numpy()
@@ -162,14 +164,19 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, column: str = "embe
                     if hi > lo:
                         score[rows, lo:hi] = q[rows] @ x[lo:hi].T
                 score[names[:, None] == ids[None]] = -np.inf
-                if len(x) > k:
-                    last = np.partition(score, len(x) - k, axis=1)[:, len(x) - k]
+                best = np.maximum.reduceat(score[:, by_id], id_starts, axis=1)  # the k places count ids, not rows
+                if best.shape[1] > k:
+                    last = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
                 else:
                     last = np.full(len(q), -np.inf)
                 row, col = np.nonzero((score >= np.maximum(last, bound)[:, None] - SLACK) & (score > -np.inf))
                 exact = (q[row] * x[col]).sum(1)
                 order2 = np.lexsort((ids[col], -exact, row))
                 row, col, exact = row[order2], col[order2], exact[order2]
+                once = np.lexsort((-exact, ids[col], row))  # the best row of each id
+                again = np.zeros(len(row), bool)
+                again[once[1:]] = (row[once][1:] == row[once][:-1]) & (ids[col[once]][1:] == ids[col[once]][:-1])
+                row, col, exact = row[~again], col[~again], exact[~again]
                 place_in = np.arange(len(row)) - np.searchsorted(row, row, "left")
                 keep = place_in < k
                 out.append((names[row[keep]], ids[col[keep]], exact[keep]))
