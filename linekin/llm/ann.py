@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by cross-polytope hashing, for the largest inner product.
 
-Index. Vectors are scaled by the largest norm; the missing length becomes one more coordinate along a fixed random
-direction (nothing for unit vectors), which makes the largest inner product the nearest direction. Each of ``TABLES``
-tables turns them by three rounds of random signs and fast Walsh-Hadamard transforms and takes the nearest signed axis
-as the bucket. All vectors are indexed.
-
-Search. A query probes the ``PROBES`` signed axes nearest to it in each table. Buckets are packed into parts of at most
-about ``PART`` vectors, a larger bucket is split by a hash of the id, so no task holds an unbounded group. First the
-``FIRST`` nearest buckets of one table give each query a lower bound for the score of its last neighbour; then every part
+Index. Vectors are dealt in ranges by norm, each ``RATIO`` of the one before, the last one open; a range hashes directions
+only, so no length has to be hidden in a coordinate. Each of ``TABLES`` tables turns them by three rounds of random signs and
+fast Walsh-Hadamard transforms and takes the nearest signed axis as the bucket. All vectors are indexed.
+
+Search. First the ``FIRST`` nearest buckets of one table in each range give each query a lower bound for the score of its
+last neighbour. A vector of a range reaches that bound only from some cosine on, the bound over the query's norm and the
+range's largest. Each range is then probed by as many axes, ``PROBES`` at least, as find a pair of that cosine with
+``CHANCE`` (drawn for random pairs, in ``probes_for``); a range whose vectors cannot reach the bound is left out, and one for
+which every axis is due, or a query without a bound, is compared whole in one table. Buckets are packed into parts of at most
+about ``PART`` vectors, a larger bucket is split by a hash of the id, so no task holds an unbounded group. Every part
 hands on at most ``k`` candidates a query, only those that reach the bound. Candidates are ranked by the inner
 product of the original vectors in double precision, ties by the smaller id.
 
@@ -31,6 +33,8 @@ from linekin.llm.common import stored
 from linekin.llm.vectors import unpacked, valid_vectors
 
 TABLES, PROBES, FIRST = 6, 24, 4
+#: Ranges of norm, the factor between them, and the wanted chance to find a vector that just reaches the bound.
+RANGES, RATIO, CHANCE = 32, 1.25, 0.98
 PART = 4096
 #: Queries whose scores against a part are held at once.
 QUERY_ROWS = 1024
@@ -54,16 +58,27 @@ def turned(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def padded(x: np.ndarray, top: float, query: bool) -> np.ndarray:
-    """Rows ready to be turned: scaled, with the missing length along a fixed direction, filled up to a power of two."""
+def directions(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, filled up to a power of two."""
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
-    if query:
-        unit = x / np.sqrt((x * x).sum(1))[:, None]
-        return np.pad(unit, ((0, 0), (0, width - x.shape[1])))
-    x = x / top
-    missing = np.sqrt(np.maximum(0.0, 1 - (x * x).sum(1)))
-    way = np.random.default_rng(77).standard_normal(width)
-    return np.pad(x, ((0, 0), (0, width - x.shape[1]))) + missing[:, None] * (way / np.sqrt((way * way).sum()))
+    x = x / np.abs(x).max(1)[:, None]  # squares of very long or short rows stay finite
+    return np.pad(x / np.sqrt((x * x).sum(1))[:, None], ((0, 0), (0, width - x.shape[1])))
+
+
+def probes_for(width: int, tables: int, pairs: int = 2000) -> np.ndarray:
+    """For cosines 0, 0.02 ... 1: how many axes a query probes to find a vector of that cosine with ``CHANCE``."""
+    draw = np.random.default_rng(77)
+    x, n = draw.standard_normal((2, pairs, width))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    n -= (n * x).sum(1)[:, None] * x
+    n /= np.maximum(np.sqrt((n * n).sum(1)), 1e-12)[:, None]
+    out = []
+    for c in np.linspace(0, 1, 51):
+        code = axes(c * x + np.sqrt(1 - c * c) * n, 1)[:, 0]
+        held = np.concatenate([x, -x], 1)
+        before = (held > held[np.arange(pairs), code][:, None]).sum(1)
+        out.append(int(np.quantile(before, 1 - (1 - CHANCE) ** (1 / tables), method="higher")) + 1)
+    return np.maximum.accumulate(np.array(out)[::-1])[::-1]
 
 
 def axes(x: np.ndarray, count: int) -> np.ndarray:
@@ -103,36 +118,64 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, column: str = "embe
         return valid.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("norm").alias("score"))
     top, dims = float(known["top"]), int(known["dims"])
     width = 1 << max(1, (dims - 1).bit_length())
+    steps = F.floor((F.log(F.lit(top)) - F.log("norm")) / F.log(F.lit(RATIO)))
+    valid = valid.withColumn("range", F.least(F.greatest(steps, F.lit(0)), F.lit(RANGES - 1)).cast("int"))
+    # At most RANGES rows: ranges that hold vectors, numbered from the longest on.
+    found_ranges = valid.groupBy("range").agg(F.max("norm").alias("most")).orderBy("range").collect()
+    number = {r["range"]: i for i, r in enumerate(found_ranges)}
+    most = np.array([r["most"] for r in found_ranges])
+    axes_all, buckets = 2 * width, 2 * width * len(most)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = padded(unpacked(batch.column(1), dims), top, False)
-            for t in range(TABLES if len(x) else 0):
-                codes = axes(turned(x, t), 1)[:, 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(codes, pa.int32()), *batch.columns], names=["t", "bucket", "vec_id", "vec"])
-
-    index = stored(valid.dropDuplicates(["vec_id", "vec"]).select("vec_id", "vec").mapInArrow(hashed, "t int, bucket int, vec_id long, vec binary"), "buckets")
-    # At most TABLES * 2 * width counts come to the driver.
+            first = np.array([number[r] for r in batch.column(2).to_pylist()], np.int64) * axes_all
+            x = directions(unpacked(batch.column(1), dims)) if batch.num_rows else None
+            for t in range(TABLES if batch.num_rows else 0):
+                codes = first + axes(turned(x, t), 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(codes, pa.int32()), batch.column(0), batch.column(1)], names=["t", "bucket", "vec_id", "vec"])
+
+    index = stored(valid.dropDuplicates(["vec_id", "vec"]).select("vec_id", "vec", "range").mapInArrow(hashed, "t int, bucket int, vec_id long, vec binary"), "buckets")
+    # At most TABLES * RANGES * 2 * width counts come to the driver.
     sizes = {(r["t"], r["bucket"]): r["count"] for r in index.groupBy("t", "bucket").count().toLocalIterator()}
-    place = parts(sizes, TABLES, 2 * width)
-    starts = F.element_at(F.array(*[F.lit(place[t, b][0]) for t in range(TABLES) for b in range(2 * width)]), F.col("t") * (2 * width) + F.col("bucket") + 1)
-    splits = F.element_at(F.array(*[F.lit(place[t, b][1]) for t in range(TABLES) for b in range(2 * width)]), F.col("t") * (2 * width) + F.col("bucket") + 1)
-    index = index.withColumn("part", starts + F.pmod(F.xxhash64("vec_id"), splits).cast("int")).select("part", "t", "bucket", "vec_id", "vec")
+    place = parts(sizes, TABLES, buckets)
+    at = F.col("t") * buckets + F.col("bucket") + 1
+
+    def looked_up(which: int) -> Column:
+        numbers = ",".join(str(place[t, b][which]) for t in range(TABLES) for b in range(buckets))
+        return F.element_at(F.split(F.lit(numbers), ",").cast("array<int>"), at)  # one literal, folded once
+
+    index = index.withColumn("part", looked_up(0) + F.pmod(F.xxhash64("vec_id"), looked_up(1)).cast("int")).select("part", "t", "bucket", "vec_id", "vec")
     queries = valid.where(is_query).dropDuplicates(["vec_id", "vec"])
+    due = np.minimum(np.maximum(probes_for(width, TABLES), PROBES), axes_all)
 
-    def probing(tables: int, probes: int):  # noqa: ANN202
+    def probing(tables: int, probes: int | None):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = padded(unpacked(batch.column(1), dims), top, True)
+                if not batch.num_rows:
+                    continue
+                x = directions(unpacked(batch.column(1), dims))
+                if probes is None:
+                    # The least cosine of a vector of each range that reaches the bound; over one: none does.
+                    least = batch.column(2).to_numpy()[:, None] / batch.column(3).to_numpy()[:, None] / most
+                    count = np.where(least < 0, axes_all, due[np.clip(np.floor(least * 50), 0, 50).astype(int)])
+                    count[least > 1 + 1e-6] = 0
+                else:
+                    count = np.full((len(x), len(most)), min(probes, axes_all))
                 to: dict[int, list[int]] = {}
                 wanted: dict[int, list[list[int]]] = {}
-                for t in range(tables if len(x) else 0):
-                    for q, near in enumerate(axes(turned(x, t), probes).tolist()):
+                for t in range(tables):
+                    for q, near in enumerate(axes(turned(x, t), axes_all if probes is None else probes).tolist()):
                         by_part: dict[int, list[int]] = {}
-                        for b in near:
-                            first, split = place[t, b]
-                            for p in range(first, first + split):
-                                by_part.setdefault(p, []).append(b)
+                        for r, n in enumerate(count[q].tolist()):
+                            if n == axes_all and t:
+                                continue  # the first table has compared the whole range
+                            for b in near[:n]:
+                                b += r * axes_all
+                                if (t, b) not in sizes:
+                                    continue
+                                first, split = place[t, b]
+                                for p in range(first, first + split):
+                                    by_part.setdefault(p, []).append(b)
                         for p, some in by_part.items():
                             to.setdefault(p, []).append(q)
                             wanted.setdefault(p, []).append(some)
@@ -186,8 +229,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, column: str = "embe
     probed_kind = "part int, query_id long, vec binary, bound double, near array<int>"
     found_kind = "query_id long, vec_id long, score double"
 
-    def ranked(asked: DataFrame, tables: int, probes: int) -> DataFrame:
-        probed = asked.select("vec_id", "vec", "bound").mapInArrow(probing(tables, probes), probed_kind)
+    def ranked(asked: DataFrame, tables: int, probes: int | None) -> DataFrame:
+        probed = asked.select("vec_id", "vec", "bound", "norm").mapInArrow(probing(tables, probes), probed_kind)
         own = index.where(F.col("t") < tables)
         found = own.groupBy("part").cogroup(probed.groupBy("part")).applyInArrow(search, found_kind)
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -196,4 +239,4 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, column: str = "embe
 
     bounds = stored(ranked(queries.withColumn("bound", F.lit(float("-inf"))), 1, FIRST).where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").alias("_bound")), "bounds")
     asked = queries.join(bounds, F.col("vec_id") == F.col("_id"), "left").withColumn("bound", F.coalesce("_bound", F.lit(float("-inf"))))
-    return ranked(asked, TABLES, PROBES).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked(asked, TABLES, None).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -29,3 +29,14 @@ def test_repeated_rows_take_one_place(spark):
     x /= np.linalg.norm(x, axis=1)[:, None]
     ids = np.arange(1000)
     assert recall(spark, [*zip(ids, x.tolist(), strict=True)] * 20, ids, x) >= 0.95
+
+
+def test_longer_vectors_are_found(spark):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 100
+    ids = np.arange(2000)
+    assert recall(spark, list(zip(ids, x.tolist(), strict=True)), ids, x) >= 0.95
+    x *= np.exp(0.5 * r.standard_normal((2000, 1)))
+    assert recall(spark, list(zip(ids, x.tolist(), strict=True)), ids, x) >= 0.95
