@@ -2,8 +2,8 @@
 
 The library's own pre-tokenizer cuts a text by a fixed pattern and encodes each cut on its own, so ids of a cut do not
 depend on its neighbours. Cuts of plain Latin text are made here by the same pattern and looked up; a cut that is not known
-yet goes to the library. Texts with other characters, whose classes may differ between two pattern engines, go to
-the library whole.
+yet goes to the library. Texts with other characters, whose classes may differ between two pattern engines, and texts that
+hold an added token, which the library finds before it cuts, go to the library whole.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)").search
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.cuts = re.compile(pattern()).findall
         self.plain = re.compile(PLAIN).fullmatch
@@ -50,6 +51,7 @@ class Encoder:
         worded = [c for c in cuts if c[0] == " " and c[1:2].isalpha()]
         rest = [c for c in cuts if not (c[0] == " " and c[1:2].isalpha())]
         for some, joined in [(worded[k : k + 4000], True) for k in range(0, len(worded), 4000)] + [(rest[k : k + 4000], False) for k in range(0, len(rest), 4000)]:
+            joined = joined and not self.added("".join(some))
             found = self.model.encode("".join(some) if joined else some, is_pretokenized=not joined, add_special_tokens=False)
             words = np.array(found.word_ids)
             if words[-1] + 1 != len(some):
@@ -70,7 +72,7 @@ class Encoder:
         cut: dict[int, list[str]] = {}
         every: set[str] = set()
         for i, text in enumerate(texts):
-            if not self.plain(text):
+            if not self.plain(text) or self.added(text):
                 rest.append(i)
                 continue
             cut[i] = own = self.cuts(text)
