@@ -272,7 +272,7 @@ _W = T.replace("df <= floor(n.n * 0.05)", "df <= floor(n.n * 0.05) AND df <= 60"
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    w = weights(spark, sf_dir, max_df=60)
+    w = weights(spark, sf_dir)
     return {"jaccard": _leg(spark, sf_dir, S.set_pairs(w)), "jaccard_idf": _leg(spark, sf_dir, S.set_pairs(w, idf=True)), "tfidf": _leg(spark, sf_dir, S.cosine_pairs(w))}
 
 
@@ -517,7 +517,7 @@ def _two() -> str:
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    w = weights(spark, sf_dir, max_df=60)
+    w = weights(spark, sf_dir)
     return _leg(spark, sf_dir, S.set_pairs(w), k=20), _leg(spark, sf_dir, S.cosine_pairs(w), k=20)
 
 
@@ -761,7 +761,7 @@ def translation_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = stored(S.tokens(own), "tokens")
     glosses = toks.select(F.col("token").alias("wordform")).distinct().withColumn("english", F.concat(F.lit("to "), "wordform")).withColumn("pos", F.lit("VERB"))
     t = stored(lemma.translations(toks, glosses), "translations")
-    w = stored(S.weighted(t, S.vocabulary(t, max_df=60)), "weights")
+    w = stored(S.weighted(t, S.vocabulary(t)), "weights")
     return _rows(S.top_neighbours(S.described(S.cosine_pairs(w), own), exclude_same_poem=True, exclude_first=False))
 
 
