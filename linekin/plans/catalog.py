@@ -224,7 +224,7 @@ def bigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names have few bigrams, so this table of names stands in blocks rather than in posting lists."""
     names = _names(spark, sf_dir)
     vocab = S.bigram_vocabulary(names, F.col("text")).agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    rows = names.where(F.col("vid").cast("long") % 4 == 0).crossJoin(F.broadcast(vocab))
+    rows = names.crossJoin(F.broadcast(vocab))
     grams = X.char_ngrams(F.col("text"), 2)
     rows = rows.select("vid", F.transform("tokens", lambda t: F.array_contains(grams, t).cast("double")).alias("vec"))
     return dense.exact_neighbours(dense.normalized(rows), min_score=0.6).select("src", "rank", "dst", F.round("score", 6).alias("score"))
