@@ -33,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand, within one edit, in an earlier place; n_chars follows the text."""
+    """All documents, without lines that stand, within two edits, in an earlier place; n_chars follows the text."""
     ship(spark)
     found = without_repeats(docs)
     return found.select(*[F.char_length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -28,7 +28,7 @@ from linekin.llm.common import stored
 from linekin.operators.graph import components
 
 MIN_CHARS = 20
-MAX_EDITS = 1
+MAX_EDITS = 2
 HOT = 16
 #: Rows that may be sent to every task, and the numbers in them.
 FEW, FEW_NUMBERS = 250_000, 4_000_000
