@@ -706,7 +706,7 @@ def theme_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     inc, _ = _themes(spark, sf_dir)
     side = lambda s: F.min(F.when(F.col("side") == s, F.col("theme")))
     pairs = inc.groupBy(F.col("cluster_id").alias("id")).agg(side("et").alias("left"), side("fi").alias("right")).where("left is not null and right is not null")
-    return themes.shuffled(pairs, 20).withColumn("rate", F.round("rate", 9))
+    return themes.shuffled(pairs).withColumn("rate", F.round("rate", 9))
 
 
 @query(f"WITH {H} SELECT side, type, count(*) AS n, bool_or(theme = 'B') AS in_theme FROM ic WHERE regexp_matches(lower(type), 'ma|bu') OR theme = 'B' GROUP BY 1, 2")

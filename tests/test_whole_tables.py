@@ -30,3 +30,7 @@ def test_every_name_has_bigram_neighbours(spark, tmp_path):
     spark.createDataFrame([(i, f"steel bolt {i}") for i in range(1, 9)], "p_partkey long, p_name string").write.parquet(f"{path}/part.parquet")
     got = {(r.src, r.dst) for r in QUERIES["bigram_topk"](spark, path).collect()}
     assert got == {(str(a), str(b)) for a in range(1, 9) for b in range(1, 9) if a != b}
+
+
+def test_baseline_has_the_references_200_draws(spark, sf_dir):
+    assert QUERIES["theme_shuffle"](spark, sf_dir).select("rep").distinct().count() == 200
