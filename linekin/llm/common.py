@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linekin.plans.storage import drop_stored, new_path, shared_dir, stored
 
-__all__ = ["drop_stored", "new_path", "shared_dir", "stored", "table", "text_chunks", "mixed", "word_bounds", "word_hashes"]
+__all__ = ["drop_stored", "new_path", "shared_dir", "small", "stored", "table", "text_chunks", "mixed", "word_bounds", "word_hashes"]
 
 #: Bytes of text that one numpy pass works on; a longer document is a pass of its own.
 CHUNK_BYTES = 1 << 19
@@ -20,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, rows: int = 250_000, size: int = 48 << 20) -> DataFrame:
+    """The table, to be sent to every task if it has at most so many rows and bytes; else as it is, for a shuffle.
+
+    It is counted first, so it should be a stored one.
+    """
+    wide = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    more = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in wide]
+    width = F.lit(16 * len(df.columns) + 16).cast("long")
+    for c in more:
+        width = width + c
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["b"] <= size else df
+
+
 def text_chunks(texts: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Splits an Arrow string column in runs of rows: (first row, utf-8 bytes, offsets of the rows and the end).
 

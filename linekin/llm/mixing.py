@@ -5,19 +5,20 @@ weight, no source above ``cap`` times its own words, and what a capped source le
 With the sources ordered by cap over weight, the capped ones are a prefix, so one pass over the small table of
 sources finds the level.
 
-What is taken. A source's documents stand in a fixed pseudo-random order (md5 of the id). The target is so many full
-passes and a rest; the rest takes documents in that order as long as their words end within it, then the smallest
-of the others fill the gap up to the nearest word count. Texts are taken whole.
+What is taken. A source's documents stand in a fixed pseudo-random order (md5 of the id, then size and a hash of the
+text). The target is so many full passes and a rest; the rest takes documents in that order as long as their words end
+within it, then the smallest of the others fill the gap up to the nearest word count. Texts are taken whole.
 
 Positions. Source s has the weight schedule 1 + a_s (2t - 1) over training time t in [0, 1]. Its integral
-t + a_s (t^2 - t) is the part of the source's demand met by t; inverting it at a document's place in the
-source's cumulative words gives the document's training position, and the output is range-sorted by position.
+t + a_s (t^2 - t) is the part of the source's demand met by t; inverting it at the place that each pass of a document has
+in the source's cumulative words, over all passes, gives that pass's training position. The output is range-sorted by position.
 
 Prefix sums run in two levels (sums of hash slices, then inside a slice), so a source with a third of all rows is
 spread over ``SLICES`` tasks.
 
-Null or empty texts have size 0 and are never taken; a null source is a source; repeated rows count apart; extra
-columns are carried; an empty table gives no rows.
+Null or empty texts have size 0 and are never taken; a null source is a source; rows that repeat an id, source and
+text count apart in ``mix``, and ``mixed_documents`` gives them with the columns of the least of them; extra columns are
+carried, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linekin.llm.common import stored
+from linekin.llm.common import small, stored
 
 WEIGHTS = (5, 2, 1)
 #: Target words over all words, as a fraction.
 SHARE = (3, 2)
 CAP = 2
-#: Rows of ids and numbers that may be sent to every task, at most.
-FEW = 400_000
+#: Words of a partition of the mix, about.
+PART_WORDS = 4_000_000
 #: Slices of a source's order, from the first hex digits of the md5.
 SLICES, _DIGITS, _HEX = 256, 2, 16
 #: Slopes of the weight schedules, in turn: early, late, flat.
@@ -88,16 +89,16 @@ def _prefix(df: DataFrame, key: list[str], slice_: str, order: list[Column], amo
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, passes, taken, position), a row for each row of ``docs``.
+    """(doc_id, source, size, text_hash, source_size, target, passes, taken, positions), a row for each row of ``docs``.
 
-    ``passes`` is how often the document is taken, ``position`` the training position of its first pass (null if none).
+    ``passes`` is how often the document is taken, ``positions`` the training position of each pass.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     rows = rows.withColumn("_h", F.coalesce(F.substring(F.md5(F.col("doc_id").cast("string")), 1, _HEX), F.lit("")))
     rows = stored(rows.withColumn("_s", F.substring("_h", 1, _DIGITS)), "mix-sizes")
     targets = source_targets(rows, weights).withColumnRenamed("source", "_src")
     rows = rows.join(targets, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
-    order = [F.col("_h"), F.col("size")]
+    order = [F.col("_h"), F.col("size"), F.col("text_hash")]
     rows = stored(_prefix(rows, ["source"], "_s", order, F.col("size"), "_cum"), "mix-order")
     goal = F.round("target").cast("long")
     rows = rows.withColumn("_full", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
@@ -117,8 +118,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
     rows = rows.withColumn("_extra", F.col("_fits") & (F.col("_rank") < F.col("_more")))
     passes = F.col("_full") + (F.col("_whole") | F.col("_extra")).cast("long")
     rows = rows.withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(0).cast("long"))
-    share = (F.col("_cum") + F.col("size") / F.lit(2.0)) / F.greatest(F.col("target"), F.lit(1.0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "passes", (F.col("passes") * F.col("size")).alias("taken"), F.when(F.col("passes") > 0, schedule_time(F.least(share, F.lit(1.0)), F.col("slope"))).alias("position"), "slope")
+    # Words of the source before the middle of a pass: whole passes run in the source's order, those that fill the gap come last.
+    half = F.col("size") / F.lit(2.0)
+    filled = F.col("_full") * F.col("source_size") + F.col("_rest") - F.col("_gap") + F.coalesce("_before", F.lit(0)) + F.col("_rank") * F.col("size") + half
+    demand = F.greatest(F.col("target"), F.lit(1.0))
+
+    def position(p: Column) -> Column:
+        words = F.when((p <= F.col("_full")) | F.col("_whole"), (p - 1) * F.col("source_size") + F.col("_cum") + half).otherwise(filled)
+        return schedule_time(F.least(words / demand, F.lit(1.0)), F.col("slope"))
+
+    positions = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest("passes", F.lit(1))), position)).otherwise(F.array().cast("array<double>"))
+    return rows.select("doc_id", "source", "size", "text_hash", "source_size", "target", "passes", (F.col("passes") * F.col("size")).alias("taken"), positions.alias("positions"))
 
 
 def schedule_time(met: Column, slope: Column) -> Column:
@@ -128,19 +138,39 @@ def schedule_time(met: Column, slope: Column) -> Column:
 
 
 def ordered(mixed: DataFrame) -> DataFrame:
-    """The mix range-sorted by training position, documents that are not taken last."""
-    return mixed.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    """The mix range-sorted by the position of the first pass, documents that are not taken last."""
+    first = F.get(F.col("positions"), F.lit(0)).asc_nulls_last()
+    return mixed.repartitionByRange(first, F.col("doc_id")).sortWithinPartitions(first, "doc_id")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
-    """The documents of the mix with their columns, once for each pass, range-sorted by training position."""
-    names = docs.columns
-    # Rows are matched by id; copies of an id are told apart by source and size, and equal ones share their passes.
-    picked = mix(docs, weights).where("passes > 0").groupBy("doc_id", "source", "size").agg(F.sum("passes").alias("_passes"), F.min("position").alias("_position"), F.count(F.lit(1)).alias("_same"))
-    picked = stored(picked.toDF("_id", "_source", "_size", "_passes", "_position", "_same"), "mix-picked")
+    """The documents of the mix with their columns, once for each pass, range-sorted by training position.
+
+    The ranges come from the narrow table of positions, so the texts are shuffled once.
+    """
+    rows = stored(mix(docs, weights).where("passes > 0").select("doc_id", "source", "text_hash", "size", "positions"), "mix-picked")
+    words = rows.agg(F.sum(F.col("size") * F.size("positions"))).first()[0]
+    if not words:
+        return docs.limit(0)
+    count = -(-words // PART_WORDS)
+    picks = rows.select("doc_id", "source", "text_hash", F.explode("positions").alias("at"))
+    cuts = picks.approxQuantile("at", [k / count for k in range(1, count)], 0.1 / count) if count > 1 else []
+    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    part = F.size(F.filter(bounds, lambda c: c <= F.col("at")))
+    key = ["doc_id", "source", "text_hash"]
+    names = [f"_k{i}" for i in range(len(key))]
+    picks = stored(picks.withColumn("part", part).toDF(*names, "at", "part"), "mix-picks")
+    whole = docs.select(*[F.col(c).alias(n) for c, n in zip(key[:2], names, strict=False)], F.xxhash64("text").alias(names[2]), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    # Rows that agree in all of these are one row here; its picks are those of all of them.
+    again = stored(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key).toDF(*(f"_r{i}" for i in range(len(key)))), "mix-repeats")
+    same = [F.col(n).eqNullSafe(F.col(f"_r{i}")) for i, n in enumerate(names)]
+    if not again.isEmpty():
+        repeats = small(again)
+        single = whole.join(repeats, same, "left_anti")
+        once = whole.join(repeats, same, "left_semi").groupBy(*names).agg((F.first if "map<" in docs.schema.simpleString() else F.min)("row").alias("row"))
+        whole = single.union(once)
     # Few rows go to every task; more are joined by a shuffle of the texts.
-    picked = F.broadcast(picked) if picked.count() <= FEW else picked
-    out = docs.withColumn("_sz", word_count(F.col("text"))).join(picked, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_sz") == F.col("_size")))
-    out = out.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_passes") / F.col("_same")).cast("int"))))
-    at = F.col("_position") + F.col("_pass") - 1
-    return out.withColumn("_at", at).repartitionByRange("_at", "doc_id").sortWithinPartitions("_at", "doc_id").select(*names)
+    narrow = small(picks, 1_000_000).toDF("_a", "_b", "_c", "at", "part")
+    out = whole.join(narrow, F.col("_k2").eqNullSafe(F.col("_c")) & F.col("_k0").eqNullSafe(F.col("_a")) & F.col("_k1").eqNullSafe(F.col("_b")))
+    out = out.repartitionById(count, F.col("part")).sortWithinPartitions("at", "_k0")
+    return out.select("row.*")
