@@ -6,9 +6,11 @@ The labelled rows' normal equations are summed inside each partition, the sums o
 sample are added on the driver and solved with a ridge, and pool-adjacent-violators over out-of-fold scores turns a
 ridge score into a probability.
 
-``SAMPLE`` bounds the labelled rows that the fit reads (by a hash of the id, so the same rows each time); every document
-is scored. Null texts count as empty; labels with a null id or quality are left out; several labels of a document
-each count; no usable label at all gives every document the score 0.5.
+``SAMPLE`` bounds the labelled documents that the fit reads (by a hash of the id, so the same ones each time); every
+document is scored. Null texts count as empty; labels with a null id or quality are left out; each distinct label of a
+document counts once, and of rows that repeat a document's id one is read; no usable label at all gives every document the
+score 0.5, and n labels of one class alone give all documents (n y + 0.5) / (n + 1). Repeated rows each give a row; extra
+columns are not read by ``scored`` and carried by ``kept_documents``, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from linekin.llm.common import stored, text_chunks, word_bounds, word_hashes
 
-#: Most labelled rows that the fit reads.
+#: Most labelled documents that the fit reads, about.
 SAMPLE = 30_000
 FEATURES = 192
 RIDGE = 3e-3
@@ -205,21 +207,27 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model from the labelled documents outside the held-out fifth, at most about ``SAMPLE`` label rows."""
     usable = labels.where("doc_id is not null and quality is not null").where(~held_out())
-    n = usable.count()
+    usable = usable.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_quality")).distinct()
+    n = usable.select("_id").distinct().count()
     parts = 1 << 20
-    usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(parts * min(1.0, SAMPLE / max(n, 1))))
-    usable = usable.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("quality"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"))
+    usable = usable.where(F.pmod(F.xxhash64("_id"), F.lit(parts)) < int(parts * min(1.0, SAMPLE / max(n, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rows = chunk_statistics(batch.column(0))
+                rows = chunk_statistics(batch.column(1))
                 values = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([values, batch.column(1), batch.column(2)], names=["stats", "quality", "fold"])
-
-    # The label rows are bounded by SAMPLE, so they are sent to every task.
-    rows = docs.join(F.broadcast(usable), F.col("doc_id") == F.col("_id")).select("text", "quality", "fold")
-    return fit(stored(rows.mapInArrow(run, "stats array<double>, quality double, fold int"), "quality-sample"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), values, batch.column(2)], names=["id", "stats", "hash"])
+
+    # The labelled ids are bounded by SAMPLE, so they are sent to every task.
+    ids = usable.select("_id").distinct()
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.xxhash64("text").alias("_hash"))
+    rows = rows.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("_id", "_text", "_hash")
+    kind = ids.schema["_id"].dataType.simpleString()
+    stats = stored(rows.mapInArrow(run, f"id {kind}, stats array<double>, hash long"), "quality-statistics")
+    stats = stats.groupBy("id").agg(F.min_by("stats", "hash").alias("stats"))
+    folds = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold")
+    return fit(stored(stats.join(F.broadcast(usable), F.col("id") == F.col("_id")).select("stats", F.col("_quality").alias("quality"), folds), "quality-sample"))
 
 
 def _scores(model: Model | None, texts: pa.Array) -> np.ndarray:
