@@ -3,11 +3,13 @@
 The library's own pre-tokenizer cuts a text by a fixed pattern and encodes each cut on its own, so ids of a cut do not
 depend on its neighbours. Cuts of plain Latin text are made here by the same pattern and looked up; a cut that is not known
 yet goes to the library. Texts with other characters, whose classes may differ between two pattern engines, and texts that
-hold an added token, which the library finds before it cuts, go to the library whole.
+hold an added token, which the library finds before it cuts, go to the library whole. So do all texts where the vocabulary
+file names another normalizer, another way to cut, truncation or padding.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -31,6 +33,14 @@ def pattern() -> str:
 REMEMBERED, SHORT = 900_000, 40
 
 
+def known(file: dict) -> bool:
+    """Whether a vocabulary file cuts texts by the pattern above and encodes each cut on its own."""
+    cut, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    by_pattern = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    plain = file.get("normalizer") is None and file.get("truncation") is None and file.get("padding") is None
+    return bool(by_pattern and plain and model.get("type") == "BPE" and not model.get("dropout"))
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
@@ -41,7 +51,7 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)").search
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.cuts = re.compile(pattern()).findall
-        self.plain = re.compile(PLAIN).fullmatch
+        self.plain = re.compile(PLAIN if known(json.loads(self.model.to_str())) else r"(?!)").fullmatch
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.kind = np.dtype(f"<u{self.width}")

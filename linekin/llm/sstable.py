@@ -250,10 +250,10 @@ def written(docs: DataFrame, path: str) -> DataFrame:
         shard = task.partitionId()
         files, top = open_fs(folder)
         files.create_dir(top, recursive=True)
-        final = f"{top}/shard-{shard:06d}.sst"
-        draft = f"{final}.{task.taskAttemptId()}"
+        # Each attempt writes a file of its own; the list of shards, which holds those of the attempts that counted, is what readers open.
+        own = f"shard-{shard:06d}-{task.taskAttemptId()}.sst"
         first = last = None
-        with files.open_output_stream(draft) as out:
+        with files.open_output_stream(f"{top}/{own}") as out:
             writer = Writer(out, coder.width)
             for batch in batches:
                 names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
@@ -264,12 +264,9 @@ def written(docs: DataFrame, path: str) -> DataFrame:
                     writer.add(key_of(name), np.append(ids, np.uint32(END_ID)))
             writer.close()
         if not writer.entries:
-            files.delete_file(draft)
+            files.delete_file(f"{top}/{own}")
             return
-        if files.get_file_info(final).is_file:
-            files.delete_file(final)
-        files.move(draft, final)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [f"{folder}/shard-{shard:06d}.sst"], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "n_docs": pa.array([writer.entries], pa.int64()), "n_ids": pa.array([writer.ids], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [f"{folder}/{own}"], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "n_docs": pa.array([writer.entries], pa.int64()), "n_ids": pa.array([writer.ids], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The text orders rows that share an id, so a second run writes the same files.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import public_tokenizers
@@ -20,3 +21,14 @@ def test_added_tokens_are_the_librarys_ids():
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 20))) for _ in range(2000)] + ["", "<|endoftext|>", "<|endoftext|>" * 3]
     for a, b in zip(own.encode(texts), lib.encode_batch_fast(texts, add_special_tokens=False), strict=True):
         assert a.tolist() == b.ids
+
+
+def test_files_that_cut_another_way_go_to_the_library(tmp_path):
+    file = json.loads(Tokenizer.from_file(BPE).to_str())
+    texts = ["hello world, it's 12  o'clock", " a", "", "x\n\ny"]
+    changes = [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}]
+    for i, change in enumerate(changes):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(file | change))
+        own, lib = Encoder(str(path)), Tokenizer.from_file(str(path))
+        assert [x.tolist() for x in own.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
