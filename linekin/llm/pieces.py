@@ -7,10 +7,13 @@ is allowed: survivors and backpointers as in Viterbi decoding, with a step that
 
 Streaming: a place only depends on those up to the longest piece before it. Whenever the backpointer paths of all places
 in that window meet in one boundary, the ids before it are final and are handed on; what is kept is the window and
-the ids since the last boundary, whatever the text's length.
+the ids since the last boundary, whatever the text's length. Pieces never hold a space after another character, so all paths
+meet before such a space: the search hands on what it has and starts there again with an empty window. Characters that the model
+lacks are byte pieces and end the window too.
 
-Pieces never hold a space after another character, so a stretch of spaces with what follows up to the next space is
-encoded on its own; encodings of short stretches are remembered up to a bound. Characters that the model lacks are byte pieces.
+A long text is worked on in slices of about ``SLICE`` characters that begin at such a space, so memory is bounded by the
+slice and, within one stretch without spaces, by the window. What the search found for short stretches is remembered
+up to a bound, so that frequent words are searched once a worker.
 
 Null and empty texts have no ids; decoding gives the text back, with U+2581 as a space (the model writes both alike);
 repeated rows each give a row; extra columns are not read; an empty table gives no rows.
@@ -30,9 +33,12 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 #: Remembered stretches, at most, and their longest; remembered pairs, at most.
 REMEMBERED, SHORT, PAIRS = 300_000, 40, 500_000
+#: Characters of a slice of a text, about.
+SLICE = 1 << 16
 #: Places between two looks for a common boundary.
 LOOK = 64
 _UNIT = re.compile(r" +[^ ]*")
+_BOUNDARY = re.compile(r"(?<=[^ ]) ")
 
 
 class Pieces:
@@ -58,6 +64,8 @@ class Pieces:
         self.blob = np.frombuffer(b"".join(written), np.uint8)
         self.lengths = np.array([len(w) for w in written])
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.code = "H" if n <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
         self.trie: dict = {}
         for text, i in self.ids.items():
             node = self.trie
@@ -112,49 +120,24 @@ class Pieces:
                 limit = (rank[right], 2)
                 right = self.split(right)[0]
 
-    def encode_known(self, text: str, hand_on) -> None:  # noqa: ANN001
-        """Streams the ids of a text whose characters are all pieces; ``hand_on`` gets lists of final ids."""
-        n, longest, trie, pairs = len(text), self.longest, self.trie, self.pairs
-        last: dict[int, int] = {}  # place -> last piece, of the window and of what is not handed on yet
-        begin = 0
-        for at in range(n):
-            if at:
-                own = last[at]
-                shifted = own << 20
-                if at - begin >= LOOK + longest and at % LOOK == 0:
-                    begin = self._commit(last, begin, at, hand_on)
-            node = trie
-            for to in range(at, n):
-                node = node.get(text[to])
-                if node is None:
-                    break
-                piece = node.get(0)
-                if piece is None or to + 1 in last:
-                    continue
-                if at:
-                    good = pairs.get(shifted | piece)
-                    if good is None:
-                        good = pairs[shifted | piece] = self.allowed(own, piece)
-                else:
-                    good = self.whole(piece)
-                if good:
-                    last[to + 1] = piece
-        path = []
-        at = n
-        while at > begin:
-            path.append(last[at])
-            at -= len(self.texts[last[at]])
-        hand_on(path[::-1])
+    def search(self, text: str, hand_on) -> None:  # noqa: ANN001
+        """Streams the ids of a stretch whose characters are all pieces; ``hand_on`` gets lists of final ids.
 
-    def encode_short(self, text: str) -> list[int]:
-        """The same search for a text that is shorter than the window is long: one commit, at its end."""
-        trie, pairs, n = self.trie, self.pairs, len(text)
-        last = [-1] * (n + 1)
+        ``last`` holds, for the places of the window from ``base`` on, the piece that ends there (-1: none yet).
+        """
+        n, longest, trie, pairs = len(text), self.longest, self.trie, self.pairs
+        base, last = 0, [-1] * (min(n, LOOK + 2 * longest) + 1)
         for at in range(n):
-            own = last[at]
+            i = at - base
+            if i >= LOOK + longest and at % LOOK == 0:
+                base = self._commit(last, base, at, hand_on)
+                i = at - base
+            if i + longest >= len(last) and base + len(last) <= n:
+                last.extend([-1] * (min(n - base + 1, i + longest + LOOK + 1) - len(last)))
+            own = last[i]
             shifted = own << 20
-            node, to = trie, at
-            for c in text[at:]:
+            node, to = trie, i
+            for c in text[at : at + longest]:
                 node = node.get(c)
                 if node is None:
                     break
@@ -170,64 +153,78 @@ class Pieces:
                     if good:
                         last[to] = piece
         path, size = [], self.sizes
-        at = n
-        while at:
-            piece = last[at]
+        i = n - base
+        while i:
+            piece = last[i]
             path.append(piece)
-            at -= size[piece]
+            i -= size[piece]
         path.reverse()
-        return path
+        hand_on(path)
 
-    def _commit(self, last: dict[int, int], begin: int, at: int, hand_on) -> int:  # noqa: ANN001
-        """Hands on the ids up to the boundary in which all paths of the window meet, if they do; the new beginning.
+    def _commit(self, last: list[int], base: int, at: int, hand_on) -> int:  # noqa: ANN001
+        """Hands on the ids up to the boundary in which all paths of the window meet, if they do; the new base.
 
         Later places step from ``at`` or after it, or are already known ones, whose paths count too.
         """
-        heads = {p for p in last if p >= at}
+        size = self.sizes
+        heads = {k for k in range(at - base, len(last)) if last[k] >= 0}
         while len(heads) > 1:
             far = max(heads)
             heads.remove(far)
-            far -= len(self.texts[last[far]])
-            if far <= begin:
-                return begin
+            far -= size[last[far]]
+            if far <= 0:
+                return base
             heads.add(far)
         meet = heads.pop()
-        path, p = [], meet
-        while p > begin:
-            path.append(last[p])
-            p -= len(self.texts[last[p]])
+        path, k = [], meet
+        while k > 0:
+            path.append(last[k])
+            k -= size[last[k]]
         hand_on(path[::-1])
-        for p in [p for p in last if p < meet]:
-            del last[p]
-        return meet
+        del last[:meet]
+        return base + meet
 
     def encode_unit(self, unit: str) -> bytes:
-        if len(unit) <= SHORT and self.known.fullmatch(unit):
-            return array("H", self.encode_short(unit)).tobytes()
+        """The ids of a stretch of spaces with what follows, packed."""
         out: list[bytes] = []
 
         def hand_on(ids: list[int]) -> None:
-            out.append(array("H", ids).tobytes())
+            out.append(array(self.code, ids).tobytes())
 
+        if self.known.fullmatch(unit):
+            self.search(unit, hand_on)
+            return b"".join(out)
         known, start = self.trie, 0
         for k, c in enumerate(unit):
             if c not in known:
                 if k > start:
-                    self.encode_known(unit[start:k], hand_on)
+                    self.search(unit[start:k], hand_on)
                 hand_on([self.bytes_[b] for b in c.encode("utf-8", "surrogatepass")])
                 start = k + 1
         if start < len(unit):
-            self.encode_known(unit[start:], hand_on)
+            self.search(unit[start:], hand_on)
         return b"".join(out)
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text (16 bits each)."""
+    def blocks(self, text: str) -> Iterator[tuple[str, np.ndarray]]:
+        """Slices of a text, each from a boundary to the next one after ``SLICE`` characters, with their ids.
+
+        The first slice has the space that stands before every text.
+        """
         if not text:
-            return np.zeros(0, np.uint16)
-        units = _UNIT.findall(" " + text.replace(SPACE, " "))
+            return
+        text = " " + text.replace(SPACE, " ")
+        at, n = 0, len(text)
+        while at < n:
+            cut = _BOUNDARY.search(text, at + SLICE) if at + SLICE < n else None
+            end = cut.start() if cut else n
+            part = text[at:end] if at or cut else text
+            yield part, self._slice(_UNIT.findall(part))
+            at = end
+
+    def _slice(self, units: list[str]) -> np.ndarray:
         memo = self.memo
         try:
-            return np.frombuffer(b"".join(map(memo.__getitem__, units)), np.uint16)
+            return np.frombuffer(b"".join(map(memo.__getitem__, units)), self.dtype)
         except KeyError:
             pass
         if len(memo) > REMEMBERED:
@@ -242,15 +239,20 @@ class Pieces:
                 if len(unit) <= SHORT:
                     memo[unit] = ids
             out.append(ids)
-        return np.frombuffer(b"".join(out), np.uint16)
+        return np.frombuffer(b"".join(out), self.dtype)
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text."""
+        found = [ids for _, ids in self.blocks(text)]
+        return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, self.dtype), *found])
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The utf-8 text of ids; the space before the first word is not part of it."""
+        """The utf-8 text of ids, with the space that stands before every text."""
         size = self.lengths[ids]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         place = np.repeat(self.starts[ids] - (ends - size), size) + np.arange(total)
-        return self.blob[place].tobytes()[1:]
+        return self.blob[place].tobytes()
 
 
 _OPEN: dict[str, Pieces] = {}
@@ -289,7 +291,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             lists = batch.column(1)
             flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            texts = [model.decode(flat[at[i] : at[i + 1]]).decode("utf-8", "replace") for i in range(batch.num_rows)]
+            texts = [model.decode(flat[at[i] : at[i + 1]])[1:].decode("utf-8", "replace") for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
@@ -309,13 +311,16 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(k, 500)
                 columns: list[list] = [[], [], [], []]
                 for t in part.column(1).to_pylist():
-                    text = t or ""
-                    ids = model.encode(text)
-                    back = model.decode(ids)
-                    columns[0].append(len(ids))
-                    columns[1].append(zlib.crc32(ids.astype("<u4").tobytes()))
-                    columns[2].append(len(back.decode("utf-8", "replace")))
-                    columns[3].append(back == text.replace(SPACE, " ").encode())
+                    tokens = crc = chars = 0
+                    same = True
+                    for written, ids in model.blocks(t or ""):
+                        back = model.decode(ids)
+                        crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
+                        tokens += len(ids)
+                        chars += len(back.decode("utf-8", "replace"))
+                        same = same and back == written.encode()
+                    for column, value in zip(columns, (tokens, crc, max(chars - 1, 0), same), strict=True):
+                        column.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "n_chars", "same"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_crc32 long, n_chars long, same boolean")
