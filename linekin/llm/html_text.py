@@ -1,20 +1,26 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is scanned once for tags; text between the edges of block elements is a block (inline tags vanish, ``<br>`` is
-white space). A logistic classifier, trained on the small table of labelled block contexts below, prices each block as
-content or boilerplate; the prices become terminal capacities. Neighbouring blocks, and blocks of one parent, are
-joined by smoothness edges whose capacity grows with their DOM proximity. A max-flow separates content from boilerplate.
-
-Blocks that no label can make readable text (scripts, styles, form controls, the head) are never nodes.
-
-A null page counts as empty and has an empty text; character references are decoded; a page of any length is one
-row, its graph linear in its blocks; repeated rows each give a row; extra columns are carried by ``main_text``.
+white space). A logistic classifier, trained on the small table of labelled blocks below, prices each block as content or
+boilerplate, by the elements and names around it, its length, links and last character, by phrases that notices, menus
+and comment sections have, by headings of such sections above it, and by whether the page has any other text. The prices become
+terminal capacities. Neighbouring blocks, and blocks of one parent, are joined by smoothness edges whose capacity grows with their
+DOM proximity. A max-flow separates content from boilerplate.
+
+Blocks that no label can make readable text (scripts, styles, form controls, the head) are never nodes. Only an ``<a>`` with an
+``href`` is a link; one that is never closed ends with the next one or with the element that holds it. Closing tags of
+elements that are skipped are found once a page, so scanning is linear in the page.
+
+A null page counts as empty and has an empty text; a page without tags, or with nothing but short text, is text; character
+references are decoded; a page of any length is one row, its graph linear in its blocks; repeated rows each give a row;
+extra columns are carried by ``main_text`` (but ``html``, ``text`` and ``n_chars``); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Iterator
 
@@ -26,6 +32,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\
 _LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
+
 # HTML element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title button".split())
@@ -36,6 +44,7 @@ BLOCK = frozenset(
 )
 #: A start tag that ends an open element of the listed kinds.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INNERMOST = frozenset("ul ol dl table div section article main aside nav footer header form body blockquote".split())
 
 #: Contexts that an element gives to the text in it, by tag and by the words of class, id and role.
@@ -54,9 +63,23 @@ BY_WORD = {
 }
 _CONTEXT = {w: c for c, words in BY_WORD.items() for w in words.split()}
 CONTEXTS = ("menu", "foot", "head", "side", "notice", "ad", "form", "comment", "share", "article", "hidden")
-FEATURES = (*CONTEXTS, "heading", "item", "links", "words", "stop", "bare")
+FEATURES = (*CONTEXTS, "heading", "item", "links", "words", "stop", "bare", "article_links", "cue", "under", "alone")
+
+#: Phrases of short blocks (``SHORT_WORDS`` at most) that are no article, and headings of sections that are none.
+SHORT_WORDS = 14
+CUE = re.compile(
+    r"\b(?:we use cookies|uses cookies|accept (?:all )?cookies|cookie (?:policy|settings)|privacy policy|terms of (?:use|service)|all rights reserved|copyright|subscribe|sign up|log ?in|newsletter|"
+    r"advertisement|sponsored|share (?:this|on)|follow us|read more|back to top|skip to (?:main )?content|leave a (?:comment|reply)|post a comment|comments? (?:are|is) (?:open|closed)|"
+    r"[0-9]+ comments?|filed under|related (?:posts|articles|stories)|you may also like|add to cart)\b|\u00a9",
+    re.I,
+)
+SECTION = re.compile(
+    r"(?:related|comments?|[0-9]+ (?:comments?|responses?|replies)|leave a (?:reply|comment)|responses?|reviews?|customer reviews|share|newsletter|advertisement|sponsored|more (?:from|stories|posts)|you may also like|"
+    r"recommended|popular|trending|most read|recent (?:posts|comments)|categories|tags|archives)\b[^.]{0,40}",
+    re.I,
+)
 
-#: Labelled contexts: features with value 1 (or name=value), then whether such a block is content.
+#: Labelled blocks: features with value 1 (or name=value), then whether such a block is content.
 LABELLED = """
 article words=3 stop | 1
 article words=2 | 1
@@ -111,6 +134,41 @@ links=1 words=1 bare | 0
 links=1 words=0.5 item bare | 0
 words=0.7 bare | 0
 words=1 links=0.8 bare | 0
+article words=2 stop links=1 article_links=1 | 1
+article words=3 stop links=0.9 article_links=0.9 | 1
+article words=2 links=1 article_links=1 | 1
+article item words=1.5 links=1 article_links=1 | 1
+article item words=2.5 stop links=0.7 article_links=0.7 | 1
+article words=1 | 1
+article words=0.7 | 1
+article cue words=1.5 | 0
+article cue words=2 stop | 0
+article cue words=2 stop links=0.3 article_links=0.3 | 0
+article cue heading words=1 | 0
+article cue heading words=0.7 | 0
+article under words=2 stop | 0
+article under words=3 stop | 0
+article under item words=1.5 links=1 article_links=1 | 0
+article under words=4 stop | 0
+under words=3 stop bare | 0
+under words=2 bare | 0
+under item links=1 words=1.5 bare | 0
+cue words=2 stop bare | 0
+cue words=1.5 bare | 0
+cue words=2 bare alone | 0
+cue heading words=1 bare | 0
+alone words=0.7 bare | 1
+alone words=1 bare | 1
+alone words=2 bare | 1
+alone words=2 stop bare | 1
+alone heading words=1 bare | 1
+alone links=1 words=1 bare | 0
+alone links=1 words=0.7 item bare | 0
+alone item words=1 bare | 1
+heading words=1 bare | 1
+words=2 stop bare | 1
+item words=2 stop bare | 1
+item words=2.5 stop links=0.2 bare | 1
 """
 
 #: Capacities are whole numbers: so many units a nat.
@@ -165,11 +223,14 @@ ROOT: tuple[str, frozenset[str], int, int, str] = ("", frozenset(), 0, 0, "")
 
 
 class Block:
-    __slots__ = ("parts", "contexts", "parent", "depth", "heading", "item", "linked")
+    """``heading`` is 1 to 6, or 0 for other blocks; groups are numbered in page order, ``last`` is the last one inside ``parent``."""
+
+    __slots__ = ("parts", "contexts", "parent", "depth", "heading", "item", "linked", "last")
 
-    def __init__(self, contexts: frozenset[str], parent: int, depth: int, heading: bool, item: bool) -> None:
+    def __init__(self, contexts: frozenset[str], parent: int, depth: int, heading: int, item: bool) -> None:
         self.parts: list[str] = []
         self.contexts, self.parent, self.depth, self.heading, self.item, self.linked = contexts, parent, depth, heading, item, 0
+        self.last = parent
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
@@ -182,13 +243,26 @@ def blocks(page: str) -> list[tuple[Block, str]]:
     open_: Counter[str] = Counter()
     out: list[tuple[Block, str]] = []
     now: Block | None = None
-    number, links, at, n = 0, 0, 0, len(page)
+    number, link, at, n = 0, -1, 0, len(page)  # link: how many elements were open when the open link began
     last = page.rfind(">")
+    closing: dict[str, list[tuple[int, int]]] = {}
+    lasts: dict[int, int] = {}
 
     def cut(k: int) -> None:
+        nonlocal link
         for s in stack[k:]:
             open_[s[0]] -= 1
+            lasts[s[2]] = number
         del stack[k:]
+        if link > k:
+            link = -1
+
+    def end_of(tag: str, after: int) -> int | None:
+        """The end of the first closing tag of that kind; all of them are found at the first question."""
+        if tag not in closing:
+            closing[tag] = [m.span() for m in re.finditer(rf"</{re.escape(tag)}\s*>", page, re.I)]
+        k = bisect_left(closing[tag], (after, after))
+        return closing[tag][k][1] if k < len(closing[tag]) else None
 
     def end() -> None:
         nonlocal now
@@ -202,9 +276,9 @@ def blocks(page: str) -> list[tuple[Block, str]]:
         nonlocal now
         if now is None:
             _, contexts, group, depth, tag = stack[-1] if stack else ROOT
-            now = Block(contexts, group, depth, tag in ("h1", "h2", "h3", "h4", "h5", "h6"), tag in ("li", "td", "th", "dd", "dt"))
+            now = Block(contexts, group, depth, int(tag[1]) if tag in HEADINGS else 0, tag in ("li", "td", "th", "dd", "dt"))
         now.parts.append(part)
-        if links:
+        if link >= 0:
             now.linked += len(part)
 
     while at < n:
@@ -227,7 +301,7 @@ def blocks(page: str) -> list[tuple[Block, str]]:
         tag = tag.lower()
         if m[1]:
             if tag == "a":
-                links = max(0, links - 1)
+                link = -1
             if tag in BLOCK:
                 end()
             for k in range(len(stack) - 1, -1, -1) if open_[tag] else ():
@@ -246,13 +320,14 @@ def blocks(page: str) -> list[tuple[Block, str]]:
                 continue
             if tag in BLOCK:
                 end()
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n if tag in OPEN_ENDED else at
+            close = end_of(tag, at)
+            at = close if close is not None else n if tag in OPEN_ENDED else at
             continue
         if tag in BLOCK:
             end()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, ()):
+            ends = CLOSES.get(tag, ())
+            for k in range(len(stack) - 1, -1, -1) if open_["p"] or any(open_[t] for t in ends) else ():
+                if stack[k][0] == "p" or stack[k][0] in ends:
                     cut(k)
                     break
                 if stack[k][0] in INNERMOST:
@@ -260,10 +335,10 @@ def blocks(page: str) -> list[tuple[Block, str]]:
         if tag in VOID:
             continue
         if tag == "a":
-            links += 1
+            link = len(stack) if _HREF.search(m[3]) else -1
             continue
-        if tag in BLOCK or m[3]:
-            own = _context(tag, m[3])
+        own = _context(tag, m[3])
+        if tag in BLOCK or own:
             _, above, group, depth, holder = stack[-1] if stack else ROOT
             if tag in INNERMOST:
                 number += 1
@@ -271,23 +346,51 @@ def blocks(page: str) -> list[tuple[Block, str]]:
             stack.append((tag, above.union(own) if own else above, group, depth, tag if tag in BLOCK else holder))
             open_[tag] += 1
     end()
+    cut(0)
+    lasts[0] = number
+    for block, _ in out:
+        block.last = lasts[block.parent]
     return out
 
 
-def costs(found: list[tuple[Block, str]], weights: np.ndarray) -> list[int]:
-    """Units by which each block is rather content (above 0) or boilerplate."""
+def features(found: list[tuple[Block, str]]) -> np.ndarray:
+    """A row for each block, the last column constant."""
+    at = {name: k for k, name in enumerate(FEATURES)}
     x = np.zeros((len(found), len(FEATURES) + 1))
     x[:, -1] = 1
+    sections: list[tuple[int, int, int]] = []  # open sections that are no article: group of the heading, its last group, level
     for row, (block, text) in zip(x, found, strict=True):
         for c in block.contexts:
-            row[FEATURES.index(c)] = 1
-        row[FEATURES.index("heading")] = block.heading
-        row[FEATURES.index("item")] = block.item
-        row[FEATURES.index("links")] = min(1.0, block.linked / max(1, sum(map(len, block.parts))))
-        row[FEATURES.index("words")] = min(4.0, np.log1p(text.count(" ") + 1))
-        row[FEATURES.index("stop")] = text[-1] in ".!?:;\"')]"
-        row[FEATURES.index("bare")] = not block.contexts
-    return [int(v) for v in np.rint(np.clip(x @ weights, -20, 20) * UNIT)]
+            row[at[c]] = 1
+        words = text.count(" ") + 1
+        section = bool(block.heading and words <= SHORT_WORDS and SECTION.fullmatch(text))
+        while sections and not sections[-1][0] <= block.parent <= sections[-1][1]:
+            sections.pop()
+        if block.heading:
+            while sections and sections[-1][0] == block.parent and sections[-1][2] >= block.heading:
+                sections.pop()
+        row[at["under"]] = bool(sections)
+        if section:
+            sections.append((block.parent, block.last, block.heading))
+        row[at["heading"]] = block.heading > 0
+        row[at["item"]] = block.item
+        row[at["links"]] = min(1.0, block.linked / max(1, sum(map(len, block.parts))))
+        row[at["words"]] = min(4.0, np.log1p(words))
+        row[at["stop"]] = text[-1] in ".!?:;\"')]"
+        row[at["bare"]] = not block.contexts
+        row[at["article_links"]] = row[at["links"]] * row[at["article"]]
+        row[at["cue"]] = section or words <= SHORT_WORDS and CUE.search(text) is not None
+    bare = x[:, at["bare"]] > 0
+    # A page that has neither an article nor a longer text of its own: what there is may be all.
+    longer = (x[:, at["article"]] > 0) | bare & (x[:, at["words"]] >= np.log1p(12)) & (x[:, at["links"]] < 0.5)
+    if not longer.any():
+        x[bare, at["alone"]] = 1
+    return x
+
+
+def costs(found: list[tuple[Block, str]], weights: np.ndarray) -> list[int]:
+    """Units by which each block is rather content (above 0) or boilerplate."""
+    return [int(v) for v in np.rint(np.clip(features(found) @ weights, -20, 20) * UNIT)]
 
 
 def edges(found: list[tuple[Block, str]]) -> list[tuple[int, int, int]]:
