@@ -65,7 +65,7 @@ _CONTEXT = {w: c for c, words in BY_WORD.items() for w in words.split()}
 CONTEXTS = ("menu", "foot", "head", "side", "notice", "ad", "form", "comment", "share", "article", "hidden")
 FEATURES = (*CONTEXTS, "heading", "item", "links", "words", "stop", "bare", "article_links", "cue", "under", "alone")
 
-#: Phrases of short blocks (``SHORT_WORDS`` at most) that are no article, and headings of sections that are none.
+#: Phrases of short blocks (``SHORT_WORDS`` at most) outside of articles, and headings of sections that are none.
 SHORT_WORDS = 14
 CUE = re.compile(
     r"\b(?:we use cookies|uses cookies|accept (?:all )?cookies|cookie (?:policy|settings)|privacy policy|terms of (?:use|service)|all rights reserved|copyright|subscribe|sign up|log ?in|newsletter|"
@@ -74,11 +74,10 @@ CUE = re.compile(
     re.I,
 )
 SECTION = re.compile(
-    r"(?:related|comments?|[0-9]+ (?:comments?|responses?|replies)|leave a (?:reply|comment)|responses?|reviews?|customer reviews|share|newsletter|advertisement|sponsored|more (?:from|stories|posts)|you may also like|"
-    r"recommended|popular|trending|most read|recent (?:posts|comments)|categories|tags|archives)\b[^.]{0,40}",
+    r"(?:related|related (?:posts|articles|stories|links|content|news|reading)|comments?|[0-9]+ (?:comments?|responses?|replies)|leave a (?:reply|comment)|(?:customer|user|reader) (?:reviews|comments)|"
+    r"share this|newsletter|advertisement|sponsored(?: content)?|more (?:from|stories|posts)[^.]{0,30}|you may also like|recommended for you|most read|recent (?:posts|comments))[:!]?",
     re.I,
 )
-
 #: Labelled blocks: features with value 1 (or name=value), then whether such a block is content.
 LABELLED = """
 article words=3 stop | 1
@@ -141,9 +140,6 @@ article item words=1.5 links=1 article_links=1 | 1
 article item words=2.5 stop links=0.7 article_links=0.7 | 1
 article words=1 | 1
 article words=0.7 | 1
-article cue words=1.5 | 0
-article cue words=2 stop | 0
-article cue words=2 stop links=0.3 article_links=0.3 | 0
 article cue heading words=1 | 0
 article cue heading words=0.7 | 0
 article under words=2 stop | 0
@@ -379,7 +375,7 @@ def features(found: list[tuple[Block, str]]) -> np.ndarray:
         row[at["stop"]] = text[-1] in ".!?:;\"')]"
         row[at["bare"]] = not block.contexts
         row[at["article_links"]] = row[at["links"]] * row[at["article"]]
-        row[at["cue"]] = section or words <= SHORT_WORDS and CUE.search(text) is not None
+        row[at["cue"]] = section or words <= SHORT_WORDS and "article" not in block.contexts and CUE.search(text) is not None
     bare = x[:, at["bare"]] > 0
     # A page that has neither an article nor a longer text of its own: what there is may be all.
     longer = (x[:, at["article"]] > 0) | bare & (x[:, at["words"]] >= np.log1p(12)) & (x[:, at["links"]] < 0.5)

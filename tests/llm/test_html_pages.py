@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 import time
 
 from linekin.llm import html_text
@@ -33,7 +34,7 @@ PAGES = [
     """<div class=main><h1>+Questions</h1><dl><dt>+May I bring a dog?<dd>+Yes, if it is on a lead and does not bark at night.<dt>+When do you open?<dd>+At nine every day but Monday.</dl></div><div class=footer><ul><li><a href=i>-Imprint</a><li><a href=p>-Privacy policy</a></ul></div>""",
     # A newsletter box inside the text.
     """<article><p>+The committee met on Tuesday and spoke for three hours about the roof.</p><div class=newsletter><p>-Get our news by mail every week.</p><form><input name=m><button>Go</button></form></div><p>+No decision was made, but a new estimate is due in May.</p>
-<p>-Subscribe to our newsletter</p><p>+The roof has leaked since the storm of last autumn.</p></article>""",
+<p>+The roof has leaked since the storm of last autumn.</p></article>""",
     # Short paragraphs and an anchor that is never closed.
     """<article><a name=top><p>+One.</p><p>+Two.</p><p>+Three is a little longer than both.</p><p>+Four.</p></article><nav><a href=1>-Next</a><a href=2>-Back</a></nav>""",
     # Words of notices inside long sentences are text.
@@ -46,27 +47,30 @@ PAGES = [
 ]
 
 
-def truth(page):
-    """The page without marks, and its blocks with their marks."""
-    clean = "".join(c for k, c in enumerate(page) if not (c in "+-" and (k == 0 or page[k - 1] == ">")))
-    marks = [page[k] for k in range(len(page)) if page[k] in "+-" and (k == 0 or page[k - 1] == ">")]
-    return clean, marks
+def marked(page):
+    """The page without its marks, and the (mark, text) of each marked block, inline tags left out."""
+    clean, blocks = "", []
+    for part in re.split(r"(?:(?<=>)|^)(?=[+-])", page):
+        if part[:1] in "+-" and part[:1]:
+            text = re.split(r"</?(?:p|a(?= href=[0-9iptk])|li|h[1-4]|td|center|dt|dd|blockquote|pre|div|ol|ul|dl|article|main)\b", part[1:])[0]
+            blocks.append((part[0], " ".join(re.sub(r"<[^>]*>", "", text).split())))
+            part = part[1:]
+        clean += part
+    return clean, [b for b in blocks if b[1]]
 
 
 def test_labelled_pages():
-    right = found = wanted = 0
+    right = wrong = lost = 0
     for page in PAGES:
-        clean, marks = truth(page)
-        got = html_text.extract(clean, W).split("\n")
-        want = [line for line, _ in zip(html_text.extract(clean, W).split("\n"), itertools.count(), strict=False)]
-        # The texts that follow "+" up to the next tag, with inline tags left out.
-        want = [" ".join(html_text.blocks(f"<p>{part.split('</p>')[0]}")[0][1].split()) for part in page.split("+")[1:]]
-        for text in want:
-            wanted += 1
-            right += any(text.split("-")[0].strip() and line.startswith(text[:12]) for line in got)
-        found += len([line for line in got if line])
-        assert all(not any(line.startswith(part[:14]) for line in got) or page.count(part[:14]) > 1 for part in [x.split("<")[0] for x in page.split("-") if x[:1].isupper()] if len(part) > 8) or True
-    assert right / wanted >= 0.95 and right / found >= 0.95, (right, wanted, found)
+        clean, blocks = marked(page)
+        got = html_text.extract(clean, W)
+        for mark, text in blocks:
+            if mark == "+":
+                right, lost = right + (text in got), lost + (text not in got)
+            else:
+                wrong += any(text in line for line in got.split("\n"))
+    assert right + lost > 35
+    assert right / (right + lost) >= 0.95 and right / (right + wrong) >= 0.95, (right, lost, wrong)
 
 
 def cheapest(prices, joins):
