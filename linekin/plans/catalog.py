@@ -59,10 +59,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verses(table(spark, sf_dir, "documents"), "doc_id", split_verses(F.col("text")), "lang", "source")
 
 
-def weights(spark: SparkSession, sf_dir: str, max_df: int | None = None) -> DataFrame:
-    """The weighted tokens of the lines; written once, as every pair join reads them several times."""
+def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted tokens of the lines; written once, as they are read several times."""
     toks = stored(S.tokens(lines(spark, sf_dir)), "tokens")
-    return stored(S.weighted(toks, S.vocabulary(toks, max_df=max_df)), "weights")
+    return stored(S.weighted(toks, S.vocabulary(toks)), "weights")
 
 
 @query(f"WITH {V} SELECT vid, poem_id, idx, text FROM verses")
@@ -148,29 +148,31 @@ def _rows(top: DataFrame) -> DataFrame:
     return top.select("src", F.col("rank").cast("int").alias("rank"), "dst", F.round("score", 6).alias("score"), "mtype")
 
 
-def _leg(spark: SparkSession, sf_dir: str, pairs: DataFrame, **options: object) -> DataFrame:
-    return S.top_neighbours(S.described(pairs, lines(spark, sf_dir)), **options)  # type: ignore[arg-type]
+def legs(verses_: DataFrame, w: DataFrame, measures: tuple[str, ...], k: int = 50, adaptive: bool = False, **options: bool) -> dict[str, DataFrame]:
+    """Ranked lists of the verses by several measures of their weighted tokens, from one product."""
+    whole = bool(options.get("exclude_first", True) and (options.get("exclude_same_poem") or options.get("exclude_adjacent")))
+    pairs, members = S.set_pairs(w, measures, adaptive=adaptive, most=None if whole else 5 * k + 1)
+    pairs, members = stored(pairs, "set-pairs"), stored(S.described(verses_, members), "set-verses")
+    return {m: S.top_neighbours(pairs.where(F.col("measure") == m), members, k, **options) for m in measures}
 
 
-@query(f"WITH {T}, {_pairs(False)}, {_top()} {_OUT}")
-def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(_leg(spark, sf_dir, S.set_pairs(weights(spark, sf_dir))))
+def _leg(spark: SparkSession, sf_dir: str, measure: str, **options: bool) -> DataFrame:
+    return legs(lines(spark, sf_dir), weights(spark, sf_dir), (measure,), **options)[measure]
 
 
-@query(f"WITH {T.replace('df <= floor(n.n * 0.05)', 'df <= floor(n.n * 0.05) AND df <= 100')}, {_pairs(False)}, {_top()} {_OUT}")
-def jaccard_topk_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posting lists bounded by a count, so the join grows with the corpus and not with its square."""
-    return _rows(_leg(spark, sf_dir, S.set_pairs(weights(spark, sf_dir, max_df=100))))
+@query(f"WITH {T}, {_pairs(False)}, {_top()} {_OUT}")
+def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(_leg(spark, sf_dir, "jaccard"))
 
 
 @query(f"WITH {T}, {_pairs(True)}, {_top()} {_OUT}")
 def jaccard_idf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(_leg(spark, sf_dir, S.set_pairs(weights(spark, sf_dir), idf=True)))
+    return _rows(_leg(spark, sf_dir, "jaccard_idf"))
 
 
 @query(f"WITH {T}, {_pairs(False, 'true').replace('>= 0.2)', '>= 0.2 AND shared >= least(2, x.n))')}, {_top()} {_OUT}")
 def jaccard_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(_leg(spark, sf_dir, S.set_pairs(weights(spark, sf_dir), adaptive=True)))
+    return _rows(_leg(spark, sf_dir, "jaccard", adaptive=True))
 
 
 _SAME = "pa <> pb"
@@ -178,27 +180,27 @@ _SAME = "pa <> pb"
 
 @query(f"WITH {T}, {_pairs(False)}, {_top(before=_SAME)} {_OUT}")
 def jaccard_exclude_same(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(_leg(spark, sf_dir, S.set_pairs(weights(spark, sf_dir)), exclude_same_poem=True))
+    return _rows(_leg(spark, sf_dir, "jaccard", exclude_same_poem=True))
 
 
 @query(f"WITH {T}, {_pairs(False)}, {_top(before='NOT (pa = pb AND abs(ia - ib) <= 1)')} {_OUT}")
 def jaccard_exclude_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(_leg(spark, sf_dir, S.set_pairs(weights(spark, sf_dir)), exclude_adjacent=True))
+    return _rows(_leg(spark, sf_dir, "jaccard", exclude_adjacent=True))
 
 
 @query(f"WITH {T}, {_COS}, {_top()} {_OUT}")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(_leg(spark, sf_dir, S.cosine_pairs(weights(spark, sf_dir))))
+    return _rows(_leg(spark, sf_dir, "cosine"))
 
 
 @query(f"WITH {T}, {_COS}, {_top(after=_SAME)} {_OUT}")
 def tfidf_exclude_same(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(_leg(spark, sf_dir, S.cosine_pairs(weights(spark, sf_dir)), exclude_same_poem=True, exclude_first=False))
+    return _rows(_leg(spark, sf_dir, "cosine", exclude_same_poem=True, exclude_first=False))
 
 
 @query(f"WITH {T}, {_pairs(False)}, {_top()} SELECT mtype, count(*) AS pairs, count(DISTINCT src) AS verses FROM top GROUP BY mtype")
 def match_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.mtype_counts(_leg(spark, sf_dir, S.set_pairs(weights(spark, sf_dir))))
+    return stats.mtype_counts(_leg(spark, sf_dir, "jaccard"))
 
 
 _BG = r"""bg AS (SELECT p_partkey, s, unnest(list_distinct(list_transform(range(1, length(s)), lambda i: substring(s, i, 2)))) AS token FROM
@@ -217,7 +219,7 @@ def bigram_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bigram_vocabulary(_names(spark, sf_dir), F.col("text"))
 
 
-@query(f"""WITH {_BG}, k AS (SELECT CAST(p_partkey AS VARCHAR) AS vid, bg.token FROM bg JOIN bv ON bv.token = bg.token WHERE p_partkey % 4 = 0), c AS (SELECT vid, count(*) AS n FROM k GROUP BY vid),
+@query(f"""WITH {_BG}, k AS (SELECT CAST(p_partkey AS VARCHAR) AS vid, bg.token FROM bg JOIN bv ON bv.token = bg.token), c AS (SELECT vid, count(*) AS n FROM k GROUP BY vid),
 p AS (SELECT a.vid AS src, b.vid AS dst, count(*) / sqrt(x.n * y.n) AS score FROM k a JOIN k b ON a.token = b.token AND a.vid <> b.vid JOIN c x ON x.vid = a.vid JOIN c y ON y.vid = b.vid GROUP BY a.vid, b.vid, x.n, y.n HAVING count(*) / sqrt(x.n * y.n) >= 0.6)
 SELECT src, CAST(r AS INT) AS rank, dst, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, dst) - 1 AS r FROM p) WHERE r < 50""")
 def bigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,11 +233,12 @@ def bigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _E = """ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-mean AS (SELECT list(m ORDER BY k) AS m FROM (SELECT k, avg(x) AS m FROM (SELECT unnest(e) AS x, unnest(range(len(e))) AS k FROM ev) GROUP BY k)),
-ce AS (SELECT vec_id, list_transform(list_zip(e, m), lambda z: z[1] - z[2]) AS c FROM ev, mean),
-un AS (SELECT vec_id, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS u FROM ce WHERE list_dot_product(c, c) > 0),
-pe AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.u, b.u) AS score FROM un a JOIN un b ON a.vec_id <> b.vec_id),
-te AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, dst) - 1 AS rank FROM pe) WHERE rank < 50)"""
+mean AS MATERIALIZED (SELECT list(m ORDER BY k) AS m FROM (SELECT k, avg(x) AS m FROM (SELECT unnest(e) AS x, unnest(range(len(e))) AS k FROM ev) GROUP BY k)),
+ce AS MATERIALIZED (SELECT vec_id, list_transform(list_zip(e, m), lambda z: z[1] - z[2]) AS c FROM ev, mean),
+nc AS MATERIALIZED (SELECT vec_id, c, sqrt(list_dot_product(c, c)) AS norm FROM ce),
+un AS MATERIALIZED (SELECT vec_id, list_transform(c, lambda x: x / norm) AS u FROM nc WHERE norm > 0),
+pe AS MATERIALIZED (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.u, b.u) AS score FROM un a JOIN un b ON a.vec_id <> b.vec_id),
+te AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, dst) - 1 AS rank FROM pe) WHERE rank < 50)"""
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,12 +271,9 @@ def embed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- fusion and clusters ------------------------------------------------------------------------------------------------
 
-_W = T.replace("df <= floor(n.n * 0.05)", "df <= floor(n.n * 0.05) AND df <= 60")
-
-
 def _lists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    w = weights(spark, sf_dir)
-    return {"jaccard": _leg(spark, sf_dir, S.set_pairs(w)), "jaccard_idf": _leg(spark, sf_dir, S.set_pairs(w, idf=True)), "tfidf": _leg(spark, sf_dir, S.cosine_pairs(w))}
+    found = legs(lines(spark, sf_dir), weights(spark, sf_dir), ("jaccard", "jaccard_idf", "cosine"))
+    return {"jaccard": found["jaccard"], "jaccard_idf": found["jaccard_idf"], "tfidf": found["cosine"]}
 
 
 def _three(which: tuple[int, ...] = (0, 1, 2)) -> str:
@@ -295,12 +295,12 @@ def _fused_rows(fused: DataFrame) -> DataFrame:
     return fused.select("src", F.col("rank").cast("int").alias("rank"), "dst", F.round("rrf", 9).alias("rrf"), "n_algos")
 
 
-@query(f"WITH {_W}, {_three()} {_FUSED}")
+@query(f"WITH {T}, {_three()} {_FUSED}")
 def rrf_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused_rows(fuse.fused(fuse.union_lists(_lists(spark, sf_dir))))
 
 
-@query(f"WITH {_W}, {_three((0, 2))} {_FUSED}")
+@query(f"WITH {T}, {_three((0, 2))} {_FUSED}")
 def rrf_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused_rows(fuse.fused(fuse.union_lists(_lists(spark, sf_dir), ["jaccard", "tfidf"])))
 
@@ -513,12 +513,12 @@ def ablation_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two() -> str:
-    return f"{_W}, ja AS (WITH {_pairs(False)}, {_top(20)} SELECT * FROM top), tf AS (WITH {_COS}, {_top(20)} SELECT * FROM top)"
+    return f"{T}, ja AS (WITH {_pairs(False)}, {_top(20)} SELECT * FROM top), tf AS (WITH {_COS}, {_top(20)} SELECT * FROM top)"
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    w = weights(spark, sf_dir)
-    return _leg(spark, sf_dir, S.set_pairs(w), k=20), _leg(spark, sf_dir, S.cosine_pairs(w), k=20)
+    found = legs(lines(spark, sf_dir), weights(spark, sf_dir), ("jaccard", "cosine"), k=20)
+    return found["jaccard"], found["cosine"]
 
 
 OV = """c AS (SELECT DISTINCT ja.src FROM ja SEMI JOIN tf ON tf.src = ja.src), u AS (SELECT coalesce(j.src, t.src) AS src, j.src IS NOT NULL AND t.src IS NOT NULL AS hit FROM (SELECT * FROM ja SEMI JOIN c ON c.src = ja.src) j FULL JOIN (SELECT * FROM tf SEMI JOIN c ON c.src = tf.src) t ON j.src = t.src AND j.dst = t.dst),
@@ -700,7 +700,7 @@ def theme_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n", *[F.round(c, 9).alias(c) for c in out.columns if c != "n"])
 
 
-@query(f"""WITH {H}, p AS (SELECT cluster_id AS id, min(theme) FILTER (side = 'et') AS l, min(theme) FILTER (side = 'fi') AS r FROM ic GROUP BY 1 HAVING l IS NOT NULL AND r IS NOT NULL), x AS (SELECT p.*, rep FROM p, range(20) AS t(rep)),
+@query(f"""WITH {H}, p AS (SELECT cluster_id AS id, min(theme) FILTER (side = 'et') AS l, min(theme) FILTER (side = 'fi') AS r FROM ic GROUP BY 1 HAVING l IS NOT NULL AND r IS NOT NULL), x AS (SELECT p.*, rep FROM p, range(200) AS t(rep)),
 a AS (SELECT rep, l, row_number() OVER (PARTITION BY rep ORDER BY id) AS k FROM x), c AS (SELECT rep, r, row_number() OVER (PARTITION BY rep ORDER BY md5(id || ':' || CAST(rep AS VARCHAR) || ':42'), id) AS k FROM x) SELECT a.rep, round(avg(CAST(l = r AS DOUBLE)), 9) AS rate FROM a JOIN c ON c.rep = a.rep AND c.k = a.k GROUP BY a.rep""")
 def theme_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     inc, _ = _themes(spark, sf_dir)
@@ -762,7 +762,7 @@ def translation_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     glosses = toks.select(F.col("token").alias("wordform")).distinct().withColumn("english", F.concat(F.lit("to "), "wordform")).withColumn("pos", F.lit("VERB"))
     t = stored(lemma.translations(toks, glosses), "translations")
     w = stored(S.weighted(t, S.vocabulary(t)), "weights")
-    return _rows(S.top_neighbours(S.described(S.cosine_pairs(w), own), exclude_same_poem=True, exclude_first=False))
+    return _rows(legs(own, w, ("cosine",), exclude_same_poem=True, exclude_first=False)["cosine"])
 
 
 @query()
@@ -776,9 +776,9 @@ def html_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(html_unescape(F.col("html"))).alias("n_chars"))
 
 
-@query("SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1, 2)) WHERE r <= 8")
+@query("SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)) WHERE r <= 8")
 def first_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = table(spark, sf_dir, "events").where("event_type <> 'view'").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    by = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     return sample.first_of_each(by, "event_type", "user_id")
 
 

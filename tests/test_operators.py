@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import json
 import random
 
@@ -93,29 +94,63 @@ def verses_of(spark, texts):
 def test_text_dedup_keeps_the_best_of_equal_texts(spark):
     v = verses_of(spark, ["aa bb", "aa bb", "aa bb cc", "AA bb cc", "aa dd"])
     toks = S.tokens(v)
-    pairs = S.set_pairs(S.weighted(toks, S.vocabulary(toks, min_df=1, max_share=1.0)), min_score=0.1, min_shared=1)
-    top = S.top_neighbours(S.described(pairs, v))
+    pairs, members = S.set_pairs(S.weighted(toks, S.vocabulary(toks, min_df=1, max_share=1.0)), floors={"jaccard": 0.1}, min_shared=1)
+    members = S.described(v, members)
+    top = S.top_neighbours(pairs, members)
     own = [(x.dst, x["rank"]) for x in top.where("src = 'p0:0'").orderBy("rank").collect()]
     assert own == [("p1:0", 0), ("p2:0", 1), ("p4:0", 2)]
-    near = S.top_neighbours(S.described(pairs, v), exclude_same_poem=True)
+    near = S.top_neighbours(pairs, members, exclude_same_poem=True)
     assert near.where("mtype = 'w'").count() == 0
     assert top.where("src = dst").count() == 0
 
 
-def test_jaccard_pairs_match_brute_force(spark):
+@pytest.mark.parametrize(("block", "adaptive", "most"), [(4096, False, None), (7, False, None), (7, True, None), (9, False, 3)])
+def test_set_pairs_match_brute_force(spark, monkeypatch, block, adaptive, most):
+    monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "ROWS", 4)
     r = random.Random(2)
-    texts = [" ".join(r.choice("aa bb cc dd ee ff gg hh".split()) for _ in range(r.randint(2, 6))) for _ in range(40)]
+    texts = [" ".join(r.choice("aa bb cc dd ee ff gg hh".split()) for _ in range(r.randint(1, 6))) for _ in range(60)]
     v = verses_of(spark, texts)
-    toks = S.tokens(v)
+    toks = S.tokens(v, least=1)
     w = S.weighted(toks, S.vocabulary(toks, min_df=2, max_share=1.0))
     sets = {}
     for x in w.collect():
-        sets.setdefault(x.vid, set()).add(x.token)
-    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.permutations(sets, 2) if len(sets[a] & sets[b]) >= 2}
-    want = {k: s for k, s in want.items() if s >= 0.2}
-    got = {(x.src, x.dst): x.score for x in S.set_pairs(w).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
-    assert all(0 <= s <= 1 + 1e-9 and abs(got[b, a] - s) < 1e-12 for (a, b), s in got.items())
+        sets.setdefault(x.vid, {})[x.token] = x.idf
+    want = {}
+    for a, b in itertools.permutations(sets, 2):
+        x, y = sets[a], sets[b]
+        both = x.keys() & y.keys()
+        enough = len(both) >= (min(2, len(x)) if adaptive else 2)
+        total = sum(x.values()) + sum(y.values()) - sum(x[t] for t in both)
+        cosine = sum(x[t] ** 2 for t in both) / math.sqrt(sum(i * i for i in x.values()) * sum(i * i for i in y.values()))
+        for m, score, good in (("jaccard", len(both) / len(x.keys() | y.keys()), enough), ("jaccard_idf", sum(x[t] for t in both) / total, enough), ("cosine", cosine, bool(both))):
+            if good and score >= S.FLOORS[m]:
+                want[m, a, b] = score
+    pairs, members = S.set_pairs(w, tuple(S.FLOORS), adaptive=adaptive, most=most)
+    of = {}
+    for x in members.collect():
+        of.setdefault(x.rep, []).append(x.vid)
+    got = {(x.measure, a, b): x.score for x in pairs.collect() for a in of[x.src] for b in of[x.dst] if a != b}
+    if most is None:
+        assert got.keys() == want.keys()
+    assert got.keys() <= want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    for m, a in {(m, a) for m, a, _ in want}:
+        # The best of each verse are there whatever a task leaves out.
+        best = sorted(((-round(s, 9), b) for (n, c, b), s in want.items() if (n, c) == (m, a)))[: (most or 3) - 1]
+        assert all((m, a, b) in got for _, b in best)
+
+
+def test_exact_neighbours_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK", 16)
+    r = random.Random(5)
+    x = [[r.gauss(0, 1) for _ in range(4)] for _ in range(70)] + [[1.0, 0.0, 0.0, 0.0]] * 6
+    df = spark.createDataFrame(list(enumerate(x)), "vid long, vec array<double>")
+    got = {(g.src, g["rank"]): g.dst for g in dense.exact_neighbours(df, k=5, min_score=0.1).collect()}
+    want = {}
+    for i, a in enumerate(x):
+        best = sorted((-round(s, 9), j) for j, b in enumerate(x) if j != i and (s := sum(p * q for p, q in zip(a, b, strict=True))) >= 0.1)
+        want |= {(i, k): j for k, (_, j) in enumerate(best[:5])}
+    assert got == want
 
 
 def test_adaptive_floor(spark):
