@@ -7,10 +7,15 @@ class stays, and so do shorter lines.
 Join. Equal lines collapse to one, with its first place and count. A distinct line of n characters is cut in max_edits + 1
 segments; a line within max_edits of it has one of them unchanged, at a start that the edits before and after
 it bound. Each line files its own segments and the substrings that could be a segment of lines of its length
-or up to max_edits less. A key of two lines is a pair at once; keys of up to ``HOT`` lines are joined; a key that more
-lines share is split further: what is left of its lines without the shared segment is within max_edits too, so it is cut in
-segments again, level by level, until no key is hot or what is left is so short that all its lines are near. So a
-group of n lines with a common part never makes n * n pairs. Candidates are confirmed by banded bit-parallel edit distance.
+or up to max_edits less. Lines that share a key are compared in the join itself, by their lengths and counts of frequent characters, which two edits
+change little, and by Spark's bounded levenshtein, so that not all pairs of a family of alike lines leave it; what leaves it is
+verified by banded bit-parallel edit distance on the lines.
+
+Large keys. Every member of a key is compared with its hub first, the member that shares most places with others. What
+the hubs link is contracted to components, and only members of different components are compared further, so a group
+of near copies does not make all its pairs. A key that more than ``HOT`` lines share is split further before: what is left of
+its lines without the shared segment is within max_edits too, so it is cut in segments again, level by level, until no
+key is hot, or has one component, or what is left is so short that all its lines are near.
 
 Null and empty texts have no lines that count; a document whose lines all go keeps an empty text; rows that repeat an id
 are one document, each keeps what the first keeps; a null id counts as the smallest; extra columns are carried; an
@@ -29,7 +34,10 @@ from linekin.operators.graph import components
 
 MIN_CHARS = 20
 MAX_EDITS = 2
-HOT = 16
+#: Lines of a key that are compared in one task, at most.
+HOT = 4096
+#: Characters that are counted, one byte each; in other scripts they are rare and more pairs are confirmed.
+COUNTED = " etaoinsrhldcum."
 #: Rows that may be sent to every task, and the numbers in them.
 FEW, FEW_NUMBERS = 250_000, 4_000_000
 
@@ -131,54 +139,111 @@ def _few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _counts(line: Column) -> list[Column]:
+    """Counts of the counted characters (modulo 256), eight in a number."""
+    size = F.octet_length(line)
+    packed = []
+    for k in range(0, len(COUNTED), 8):
+        total = F.lit(0).cast("long")
+        for j, c in enumerate(COUNTED[k : k + 8]):
+            own = (size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(255))
+            total = total.bitwiseOR(F.shiftleft(own, 8 * j))
+        packed.append(total.alias(f"c{k // 8}"))
+    return packed
+
+
+def may_be_near(a: str, b: str, edits: int) -> Column:
+    """Cheap tests first: an edit changes the length by one and two counts by one, at most; then the bounded distance."""
+    apart = F.lit(0).cast("long")
+    for k in range(len(COUNTED)):
+        one = lambda t: F.shiftrightunsigned(F.col(f"{t}.c{k // 8}"), 8 * (k % 8)).bitwiseAND(F.lit(255))
+        d = F.abs(one(a) - one(b))
+        apart = apart + F.least(d, F.lit(256) - d)
+    near = (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= edits) & (apart <= 2 * edits)
+    return near & (F.levenshtein(F.col(f"{a}.line"), F.col(f"{b}.line"), edits) >= 0)
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, h2, line) of the lines at the wanted (doc_id, pos) places."""
+    """(h1, first, line, n, counts) of the lines at the wanted (doc_id, pos) places."""
     ids = _few(stored(wanted.select(F.col("doc_id").alias("_id")).distinct(), "line-docs"))
     some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
     lines = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    found = lines.join(_few(wanted.select("doc_id", "pos", "h1")), ["doc_id", "pos"], "left_semi")
-    return found.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "line").dropDuplicates(["h1", "h2"])
+    # A document that several rows hold has the wanted line in one of them: its hash tells which.
+    found = lines.join(_few(wanted.select("doc_id", "pos", "h1", "first")), ["doc_id", "pos"]).where(F.col("h1") == F.xxhash64("line")).dropDuplicates(["first"])
+    return found.select("h1", "first", "line", F.char_length("line").cast("int").alias("n"), *_counts(F.col("line")))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(a, b): first places of the lines of (a, b) pairs of h1 values that are within that many edits."""
+    both = pairs.alias("p").join(texts.alias("a"), F.col("p.a") == F.col("a.h1")).join(texts.alias("b"), F.col("p.b") == F.col("b.h1"))
+    near = both.where(may_be_near("a", "b", edits)).where(edit_distance(F.col("a.line"), F.col("b.line"), edits) <= edits)
+    return near.select(F.col("a.first").alias("a"), F.col("b.first").alias("b"))
 
 
-def candidates(docs: DataFrame, distinct: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of h1 values that share a key, and (h1, h2, line) of all lines in them."""
+def _across(members: DataFrame, edits: int) -> DataFrame:
+    """(a, b) pairs of h1 values of members (key, h1, component, line, n, counts) of a key that are in two components and may be near."""
+    near = (F.col("a.h1") < F.col("b.h1")) & (F.col("a.component") != F.col("b.component")) & may_be_near("a", "b", edits)
+    return members.alias("a").join(members.alias("b"), (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """(key, c) of the keys whose members are in more than one component."""
+    by = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return by.where("lo <> hi").select("key", "c")
+
+
+def near_lines(docs: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
+    """(node, component): the first places of distinct lines that are near another one, and the least place of their class."""
     count = len(list(places(F.lit(0), edits)))
     rows = distinct.select(F.explode(F.array(*[F.col(f"k{i}") for i in range(count)])).alias("key"), "h1").where("key is not null")
     keys = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("c > 1 and a <> b"), "line-keys")
-    pairs = [keys.where("c = 2").select("a", "b")]
+    twos = keys.where("c = 2").select("a", "b").distinct()
     more = stored(rows.join(_few(keys.where("c > 2").select("key", "c")), "key"), "line-members")
-    mid = more.where(F.col("c") <= HOT).select("key", F.col("h1").alias("a"))
-    pairs.append(mid.join(mid.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b"))
-    hot = more.where(F.col("c") > HOT)
-    ids = pairs[0].select(F.explode(F.array("a", "b")).alias("h1")).union(more.select("h1")).distinct()
-    texts = stored(_texts(docs, stored(distinct.select("h1", "doc_id", "pos").join(_few(stored(ids, "line-ids")), "h1", "left_semi"), "line-places")), "line-texts")
+    ids = twos.select(F.explode(F.array("a", "b")).alias("h1")).union(more.select("h1")).distinct()
+    wanted = distinct.select("h1", "doc_id", "pos", "first").join(_few(stored(ids, "line-ids")), "h1", "left_semi")
+    texts = stored(_texts(docs, stored(wanted, "line-places")), "line-texts")
+    # Each member with the hub of its key.
+    weight = more.groupBy("h1").agg(F.sum("c").alias("w"))
+    weighed = more.join(_few(stored(weight, "line-weights")), "h1")
+    hub = stored(weighed.groupBy("key").agg(F.max(F.struct("w", "h1")).alias("top")).select("key", F.col("top.h1").alias("hub")), "line-hubs")
+    star = more.join(_few(hub), "key").where("h1 <> hub").select(F.least("h1", "hub").alias("a"), F.greatest("h1", "hub").alias("b"))
+    first = stored(_verified(twos.union(star).distinct(), texts, edits), "line-links")
+    known = components(first)
+    # What the hubs left, with what a comparison needs of each line.
+    marked = texts.join(known, texts["first"] == known["node"], "left").select("h1", F.coalesce("component", "first").alias("component"), "line", "n", "c0", "c1")
+    marked = stored(marked, "line-marked")
+    members = stored(more.select("key", "h1").join(marked.select("h1", "component"), "h1"), "line-open")
+    open_ = stored(_open(members), "line-open-keys")
+    few = members.join(_few(open_.where(F.col("c") <= HOT).select("key")), "key", "left_semi").select("key", "h1")
+    pairs = [_across(few.join(marked, "h1"), edits)]
+    hot = members.join(_few(open_.where(F.col("c") > HOT).select("key")), "key", "left_semi").select("key", "h1")
     # Level 0 of hot keys: which place of the line the key is, then what is left without it.
     place = filed(F.col("line"), F.lit(0), edits)
-    cut = hot.join(texts, "h1").select("key", "h1", "h2", "line", F.explode(F.array(*place)).alias("f")).where("f.key = key")
-    left = cut.select(F.col("key").alias("group"), "h1", F.concat(F.substring("line", F.lit(1), F.col("f.at")), F.substring("line", F.col("f.at") + F.col("f.size") + 1, F.char_length("line"))).alias("rest"))
+    cut = hot.join(marked.select("h1", "component", "line"), "h1").select("key", "h1", "component", "line", F.explode(F.array(*place)).alias("f")).where("f.key = key")
+    left = cut.select(F.col("key").alias("group"), "h1", "component", F.concat(F.substring("line", F.lit(1), F.col("f.at")), F.substring("line", F.col("f.at") + F.col("f.size") + 1, F.char_length("line"))).alias("rest"))
     while not left.isEmpty():
         left = stored(left, "line-rests")
         # Pairs of which one has no more characters left than may be edited: few, as all else of their lines is alike.
-        short = left.where(F.char_length("rest") <= 2 * edits).select("group", F.col("h1").alias("a"), F.char_length("rest").alias("na"))
-        other = short.toDF("group", "b", "nb")
-        pairs.append(short.join(other, "group").where((F.col("a") < F.col("b")) & (F.least("na", "nb") <= edits)).select("a", "b"))
-        next_ = left.where(F.char_length("rest") > edits).select("h1", "rest", F.explode(F.array(*filed(F.col("rest"), F.col("group"), edits))).alias("f")).where("f.key is not null")
-        next_ = stored(next_.select(F.col("f.key").alias("key"), "h1", "rest", F.col("f.at").alias("at"), F.col("f.size").alias("size")), "line-next")
-        sizes = stored(next_.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("c > 1 and a <> b"), "line-keys")
-        some = next_.join(_few(sizes.select("key", "c")), "key")
-        mid = some.where(F.col("c") <= HOT).select("key", F.col("h1").alias("a"))
-        pairs.append(mid.join(mid.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b"))
-        left = some.where(F.col("c") > HOT).select(F.col("key").alias("group"), "h1", F.concat(F.substring("rest", F.lit(1), F.col("at")), F.substring("rest", F.col("at") + F.col("size") + 1, F.char_length("rest"))).alias("rest"))
+        short = left.where(F.char_length("rest") <= 2 * edits).select("group", F.col("h1").alias("a"), F.char_length("rest").alias("na"), F.col("component").alias("ca"))
+        other = short.toDF("group", "b", "nb", "cb")
+        pairs.append(short.join(other, "group").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") <= edits)).select("a", "b"))
+        next_ = left.where(F.char_length("rest") > edits).select("h1", "component", "rest", F.explode(F.array(*filed(F.col("rest"), F.col("group"), edits))).alias("f")).where("f.key is not null")
+        next_ = stored(next_.select(F.col("f.key").alias("key"), "h1", "component", "rest", F.col("f.at").alias("at"), F.col("f.size").alias("size")), "line-next")
+        sizes = stored(_open(next_), "line-open-keys")
+        some = next_.join(_few(sizes), "key")
+        pairs.append(_across(some.where(F.col("c") <= HOT).select("key", "h1").join(marked, "h1"), edits))
+        left = some.where(F.col("c") > HOT).select(F.col("key").alias("group"), "h1", "component", F.concat(F.substring("rest", F.lit(1), F.col("at")), F.substring("rest", F.col("at") + F.col("size") + 1, F.char_length("rest"))).alias("rest"))
     every = pairs[0]
     for p in pairs[1:]:
         every = every.union(p)
-    return every.distinct(), texts
+    rest = _verified(stored(every.distinct(), "line-pairs"), texts, edits)
+    return components(first.union(stored(rest, "line-links")))
 
 
 def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of lines that count, and (h1, h2, top, links) of each distinct line that is repeated or near another.
+    """Occurrences of lines that count, and (h1, h2, top, near) of each distinct line that is repeated or near another.
 
-    ``top`` is the place of the first line of its class, ``links`` the number of distinct lines within max_edits.
+    ``top`` is the place of the first line of its class, ``near`` whether the class has other lines than this one.
     """
     occ = stored(occurrences(docs, max_edits), "lines")
     count = len(list(places(F.lit(0), max_edits)))
@@ -187,35 +252,28 @@ def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS) -> tuple[DataFrame
     whole = F.lit(1 << 32).cast("decimal(10,0)")
     distinct = distinct.withColumn("pos", F.pmod(F.col("first"), whole).cast("int")).withColumn("doc_id", ((F.col("first") - F.pmod(F.col("first"), whole)) / whole).cast("long"))
     distinct = stored(distinct, "distinct-lines")
-    pairs, texts = candidates(docs, distinct, max_edits)
-    name = lambda c: F.concat_ws(":", f"{c}.h1", f"{c}.h2")
-    a, b = texts.alias("a"), texts.alias("b")
-    both = pairs.alias("p").join(a, F.col("p.a") == F.col("a.h1")).join(b, F.col("p.b") == F.col("b.h1"))
-    near = both.where(F.abs(F.char_length("a.line") - F.char_length("b.line")) <= max_edits).where(edit_distance(F.col("a.line"), F.col("b.line"), max_edits) <= max_edits)
-    links = stored(near.select(name("a").alias("a"), name("b").alias("b")), "line-links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    top = components(links).join(degree, "node")
-    marked = distinct.select("h1", "h2", "first", "copies", F.concat_ws(":", "h1", "h2").alias("node")).join(_few(stored(top, "line-tops")), "node", "left")
-    marked = stored(marked.where("copies > 1 or component is not null"), "line-marked")
-    firsts = marked.where("component is not null").groupBy("component").agg(F.min("first").alias("top"))
-    marked = marked.join(firsts, "component", "left")
-    return occ, marked.select("h1", "h2", F.coalesce("top", "first").alias("top"), F.coalesce("links", F.lit(0)).alias("links"))
+    top = stored(near_lines(docs, distinct, max_edits), "line-tops")
+    marked = distinct.select("h1", "h2", "first", "copies").join(_few(top), F.col("first") == F.col("node"), "left").where("copies > 1 or component is not null")
+    return occ, marked.select("h1", "h2", F.coalesce("component", "first").alias("top"), F.col("component").isNotNull().alias("near"))
 
 
 def without_repeats(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """``docs`` with repeats cut from ``text``, and n_lines (that count), n_removed and n_links (of its lines) beside."""
+    """``docs`` with repeats cut from ``text``, and n_lines (that count), n_removed and n_near (of its lines) beside.
+
+    ``n_near`` counts the document's lines that are near a line of other characters, removed or not.
+    """
     occ, marked = line_classes(docs, max_edits)
     found = occ.select("doc_id", "pos", "h1", "h2").join(_few(stored(marked, "line-classes")), ["h1", "h2"], "left")
     goes = F.col("top").isNotNull() & (_place() != F.col("top"))
-    by_doc = found.groupBy("doc_id").agg(F.countDistinct("pos").alias("n_lines"), F.collect_set(F.when(goes, F.col("pos"))).alias("gone"), F.coalesce(F.sum("links"), F.lit(0)).cast("long").alias("n_links"))
-    by_doc = stored(by_doc.toDF("__id", "__lines", "__gone", "__links"), "line-verdicts")
+    near = F.sum(F.coalesce(F.col("near"), F.lit(False)).cast("long"))
+    by_doc = found.groupBy("doc_id").agg(F.countDistinct("pos").alias("n_lines"), F.collect_set(F.when(goes, F.col("pos"))).alias("gone"), near.alias("n_near"))
+    by_doc = stored(by_doc.toDF("__id", "__lines", "__gone", "__near"), "line-verdicts")
     size = by_doc.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("__gone")).alias("m")).first()
     if size["n"] <= FEW * 2 and (size["m"] or 0) <= FEW_NUMBERS:
         by_doc = F.broadcast(by_doc)
     out = docs.join(by_doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__id"), "left")
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.size("__gone") > 0, F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).otherwise(F.col("text"))
-    kept = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_links")]
-    counts = [F.coalesce("__lines", F.lit(0)), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")), F.coalesce("__links", F.lit(0))]
-    return out.select(*kept, *[c.cast("long").alias(n) for c, n in zip(counts, ("n_lines", "n_removed", "n_links"), strict=True)])
+    stay = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
+    text = F.when(F.size("__gone") > 0, F.array_join(stay, "\n")).otherwise(F.col("text"))
+    kept = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_near")]
+    counts = [F.coalesce("__lines", F.lit(0)), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")), F.coalesce("__near", F.lit(0))]
+    return out.select(*kept, *[c.cast("long").alias(n) for c, n in zip(counts, ("n_lines", "n_removed", "n_near"), strict=True)])

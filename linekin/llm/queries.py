@@ -12,9 +12,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from linekin.llm.mixing import mix, ordered
 
-    return ordered(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "passes")
+    found = ordered(mix(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "passes", F.transform("positions", lambda t: F.round(t, 9)).alias("positions"))
 
 
 OP4_SQL = r"""
@@ -30,11 +33,11 @@ r AS (SELECT *, CAST(cap AS DOUBLE) / w AS ratio,
         CAST(sum(source_size) OVER () AS BIGINT) AS total FROM w),
 o AS (SELECT *, 3 * total - 2 * below AS need FROM r),
 l AS (SELECT need AS n, wleft AS lw, ratio AS lr, i AS li FROM o WHERE need * w < 2 * cap * wleft ORDER BY ratio, i LIMIT 1),
-t AS (SELECT o.source, source_size,
+t AS (SELECT o.source, source_size, o.i - 1 AS i,
         CASE WHEN l.n IS NOT NULL AND (o.ratio > l.lr OR (o.ratio = l.lr AND o.i >= l.li))
              THEN least(CAST(o.w * l.n AS DOUBLE) / CAST(2 * l.lw AS DOUBLE), CAST(cap AS DOUBLE)) ELSE CAST(cap AS DOUBLE) END AS target
       FROM o LEFT JOIN l ON true),
-a AS (SELECT d.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS goal,
+a AS (SELECT d.*, t.source_size, t.target, t.i, CAST(round(t.target) AS BIGINT) AS goal,
         CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cum
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS full_passes FROM a),
@@ -44,8 +47,12 @@ f AS (SELECT *, NOT whole AND size > 0 AND size < 2 * gap AS fits FROM g),
 e AS (SELECT *, row_number() OVER (PARTITION BY source, size, fits ORDER BY h) - 1 AS rank,
         coalesce(sum(CASE WHEN fits THEN size END) OVER (PARTITION BY source ORDER BY size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)
         - coalesce(sum(CASE WHEN fits THEN size END) OVER (PARTITION BY source, size), 0) AS before FROM f),
-p AS (SELECT *, CASE WHEN size > 0 THEN full_passes + CAST(whole OR (fits AND rank < floor(CAST(gap - before AS DOUBLE) / size + 0.5)) AS BIGINT) ELSE 0 END AS passes FROM e)
-SELECT doc_id, size, source_size, target, CAST(passes * size AS BIGINT) AS taken, CAST(passes AS BIGINT) AS passes FROM p
+p AS (SELECT *, CASE WHEN size > 0 THEN full_passes + CAST(whole OR (fits AND rank < floor(CAST(gap - before AS DOUBLE) / size + 0.5)) AS BIGINT) ELSE 0 END AS passes FROM e),
+m AS (SELECT *, [-0.5, 0.5, 0.0][CAST(i % 3 + 1 AS BIGINT)]::DOUBLE AS slope,
+        list_transform(range(1, passes + 1), lambda k: least(CAST(CASE WHEN k <= full_passes OR whole THEN (k - 1) * source_size + cum + size / 2.0::DOUBLE
+          ELSE full_passes * source_size + rest - gap + before + rank * size + size / 2.0::DOUBLE END AS DOUBLE) / greatest(target, 1.0::DOUBLE), 1.0::DOUBLE)) AS met FROM p)
+SELECT doc_id, size, source_size, target, CAST(passes * size AS BIGINT) AS taken, CAST(passes AS BIGINT) AS passes,
+  list_transform(met, lambda x: round(CASE WHEN slope = 0 THEN x ELSE (sqrt(((1 - slope) / 2) * ((1 - slope) / 2) + slope * x) - (1 - slope) / 2) / slope END, 9)) AS positions FROM m
 """
 
 
@@ -86,7 +93,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linekin.llm.lines import without_repeats
 
     rows = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_lines", "n_removed", "n_links", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return rows.select("doc_id", "n_lines", "n_removed", "n_near", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,21 +151,22 @@ nodes AS (SELECT doc_id AS k FROM documents), {_REACH}
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, top.c AS component_id, n.doc_id = top.c AS kept FROM n JOIN top ON top.a = n.doc_id
 """
 
+#: Lines within two edits have counts of any characters that differ by four in all at most; levenshtein decides.
+_FEW_LETTERS = " etaoinsr"
+_LETTERS = ", ".join(f"length(line) - length(replace(line, '{c}', '')) AS q{i}" for i, c in enumerate(_FEW_LETTERS))
+_APART = " + ".join(f"abs(a.q{i} - b.q{i})" for i in range(len(_FEW_LETTERS)))
+
 OP5_SQL = rf"""
 WITH RECURSIVE t AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents),
 o AS (SELECT doc_id, i AS pos, x[i + 1] AS line, doc_id::HUGEINT * 4294967296 + i AS loc FROM t, unnest(range(len(x))) AS q(i) WHERE length(x[i + 1]) >= 20),
-u AS MATERIALIZED (SELECT line, length(line) AS n, min(loc) AS k FROM o GROUP BY line), b AS (SELECT *, n AS m FROM u UNION ALL SELECT *, n - 1 FROM u),
-c AS (SELECT u.k AS k1, u.line AS l1, u.n AS n1, b.k AS k2, b.line AS l2, b.n AS n2 FROM u JOIN b ON b.m = u.n AND left(b.line, u.n // 2) = left(u.line, u.n // 2) AND b.k <> u.k
-  UNION SELECT u.k, u.line, u.n, b.k, b.line, b.n FROM u JOIN b ON b.m = u.n AND right(b.line, (u.n + 1) // 2 - 1) = right(u.line, (u.n + 1) // 2 - 1) AND b.k <> u.k),
-g AS (SELECT *, list_max(list_filter(range(0, n1 + 1), lambda i: left(l1, i) = left(l2, i))) AS cp FROM c),
-e AS (SELECT k1, k2 FROM g WHERE CASE WHEN n1 = n2 THEN substring(l1, cp + 2) = substring(l2, cp + 2) ELSE substring(l1, cp + 1) = substring(l2, cp + 2) END),
-p AS MATERIALIZED (SELECT k1 AS a, k2 AS b FROM e UNION SELECT k2, k1 FROM e),
+u AS MATERIALIZED (SELECT line, length(line) AS n, min(loc) AS k, {_LETTERS} FROM o GROUP BY line),
+p AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.k <> b.k AND {_APART} <= 4 AND levenshtein(a.line, b.line) <= 2),
 nodes AS (SELECT k FROM u), {_REACH},
-deg AS (SELECT a, count(*) AS links FROM p GROUP BY a),
-v AS (SELECT o.doc_id, o.pos, o.loc <> top.c AS gone, coalesce(links, 0) AS links FROM o JOIN u ON u.line = o.line JOIN top ON top.a = u.k LEFT JOIN deg ON deg.a = u.k),
-s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sum(links) AS n_links, list(pos) FILTER (gone) AS gone FROM v GROUP BY doc_id),
-w AS (SELECT t.doc_id, n_lines, n_removed, n_links, CASE WHEN n_removed > 0 THEN coalesce(array_to_string(list_transform(list_filter(range(len(x)), lambda i: NOT list_contains(s.gone, i)), lambda i: x[i + 1]), chr(10)), '') ELSE text END AS text FROM t LEFT JOIN s ON s.doc_id = t.doc_id)
-SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, length(text) AS n_chars, md5(text) AS text_md5 FROM w
+deg AS (SELECT DISTINCT a FROM p),
+v AS (SELECT o.doc_id, o.pos, o.loc <> top.c AS gone, deg.a IS NOT NULL AS near FROM o JOIN u ON u.line = o.line JOIN top ON top.a = u.k LEFT JOIN deg ON deg.a = u.k),
+s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (near) AS n_near, list(pos) FILTER (gone) AS gone FROM v GROUP BY doc_id),
+w AS (SELECT t.doc_id, n_lines, n_removed, n_near, CASE WHEN n_removed > 0 THEN coalesce(array_to_string(list_transform(list_filter(range(len(x)), lambda i: NOT list_contains(s.gone, i)), lambda i: x[i + 1]), chr(10)), '') ELSE text END AS text FROM t LEFT JOIN s ON s.doc_id = t.doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_near, 0) AS n_near, length(text) AS n_chars, md5(text) AS text_md5 FROM w
 """
 
 
