@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from linekin.functions import text as X
 from linekin.functions.english import english_lemma, normalize_translation
-from linekin.functions.unicode import html_unescape
 from linekin.operators import ablation, cluster, compare, cross, dense, evaluate, fuse, lemma, lookup, sample, stats, themes
 from linekin.operators import similarity as S
 from linekin.plans.storage import stored
@@ -141,6 +140,7 @@ d3 AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DE
 top AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY rk) - 1 AS INT) AS rank, dst, score, mtype FROM d3 WHERE rk < {k} AND {after})"""
 
 
+_TOP_ = _top()
 _OUT = "SELECT src, rank, dst, round(score, 6) AS score, mtype FROM top"
 
 
@@ -771,11 +771,6 @@ def english_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", english_lemma(F.col("word")).alias("lemma"), normalize_translation(F.concat(F.lit("the "), F.col("word"))).alias("translation"))
 
 
-@query()
-def html_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.length(html_unescape(F.col("html"))).alias("n_chars"))
-
-
 @query("SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)) WHERE r <= 8")
 def first_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -828,3 +823,6 @@ def random_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {V} SELECT poem_id, count(*) AS verses FROM verses GROUP BY poem_id")
 def verses_per_poem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return themes.verse_counts(lines(spark, sf_dir))
+
+
+from linekin.plans import exchange  # noqa: E402, F401  registers its queries here

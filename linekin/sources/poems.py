@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linekin.functions.text import PREFIX_RULES, is_positive, language, stripped
+from linekin.functions.unicode import html_unescape, nfc
 
 POEM = T.MapType(T.StringType(), T.StructType([T.StructField(n, k) for n, k in (("v", T.ArrayType(T.StringType())), ("p", T.ArrayType(T.StringType())), ("y", T.StringType()), ("text", T.StringType()), ("places", T.ArrayType(T.StringType())), ("year", T.StringType()))]))
 NEIGHBOUR = "_header boolean, v string, g int, m array<array<string>>"
@@ -29,7 +30,9 @@ def verses(texts: DataFrame, poem_id: str, verses_: Column, *keep: str) -> DataF
 
 
 def read_poems(spark: SparkSession, path: str) -> DataFrame:
-    """Poem chunks (``poems_chunk_*.json``) of either shape as (vid, poem_id, idx, text, places, year); ids keep their form.
+    """Poem chunks (``poems_chunk_*.json``) of either shape as (vid, poem_id, idx, text, places, year).
+
+    Ids are HTML-decoded and texts composed (NFC) here, once, so that ids meet across lists and words compare as they should.
 
     The old shape maps ids to ``{v, p, y}``, the new one has them under ``poems`` as ``{text, places, year}``.
     """
@@ -38,8 +41,8 @@ def read_poems(spark: SparkSession, path: str) -> DataFrame:
     rows = raw.select(F.coalesce(new, F.from_json("value", POEM)).alias("poems")).select(F.explode("poems").alias("poem_id", "poem"))
     rows = rows.where("poem_id <> 'metadata' and poem is not null")
     own = F.coalesce(F.filter(F.transform("poem.v", stripped), lambda v: v != ""), split_verses(F.col("poem.text")))
-    rows = rows.select("poem_id", own.alias("verses"), F.coalesce("poem.p", "poem.places").alias("places"), F.coalesce("poem.y", "poem.year").alias("year"))
-    return verses(rows, "poem_id", F.col("verses"), "places", "year")
+    rows = rows.select(html_unescape(F.col("poem_id")).alias("poem_id"), own.alias("verses"), F.coalesce("poem.p", "poem.places").alias("places"), F.coalesce("poem.y", "poem.year").alias("year"))
+    return verses(rows, "poem_id", F.col("verses"), "places", "year").withColumn("text", nfc(F.col("text")))
 
 
 def poem_of(vid: Column) -> Column:

@@ -286,9 +286,22 @@ def test_files_round_trip(spark, tmp_path):
     assert sinks.file_digests(spark, str(tmp_path / "r" / "*.txt")).count() == 1
     sinks.replaced(m, str(tmp_path / "t"))
     sinks.replaced(m.where("cluster_id = 1"), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    assert sinks.current(spark, str(tmp_path / "t")).count() == 2
     long_ = m.selectExpr("cluster_id", "vid", "'c' AS category", "'et' AS lang", "'x' AS place", "vid AS poem_id", "concat('T/', vid) AS text")
-    assert {k: d.count() for k, d in sinks.views(long_).items()} == {"nested": 2, "members": 3, "clusters": 2}
+    an = long_.selectExpr("cluster_id", "category", "0.5 AS char_unigram_jaccard", "0.25 AS word_jaccard").distinct()
+    made = sinks.views(long_, an, "et", "fi")
+    assert {k: d.count() for k, d in made.items()} == {"nested": 2, "members": 3, "clusters": 2}
+    assert [(x.cluster_id, x.size, x.left_count, x.unknown_count, x.left_example_poem) for x in made["clusters"].orderBy("cluster_id").collect()] == [(1, 2, 2, 0, "a"), (2, 1, 1, 0, "c")]
+    sinks.write_views(made, str(tmp_path / "v"))
+    assert spark.read.json(str(tmp_path / "v" / "membership")).count() == 2
+    assert sinks.tagged("a/b.json.gz", "x") == "a/b_x.json.gz" and sinks.tagged("/b.json", None) == "/b.json" and sinks.tagged("b.json", "t") == "b_t.json"
+    figures = spark.createDataFrame([(0.05, 7)], "mean double, pairs long")
+    verdicts = sinks.judged(figures, [("mean < 0.1", "mean", "< 0.1"), ("pairs > 9", "pairs", "> 9"), ("review", "pairs", None)])
+    said = sinks.text_report("REPORT", [("figures", figures)], verdicts)
+    assert "[ PASS   ] mean < 0.1" in said and "[ FAIL   ] pairs > 9" in said and "[ REVIEW ] review" in said and "mean: 0.050000" in said
+    d = sinks.file_digests(spark, str(tmp_path / "r" / "*.txt"))
+    assert [(x.change, x.delta) for x in sinks.digest_changes(d, d).collect()] == [("same", 0)]
+    assert [x.change for x in sinks.digest_changes(d, d.limit(0)).collect()] == ["gone"]
     sinks.write_cluster_csvs(long_, str(tmp_path / "c"), 1)
     assert [p.name for p in (tmp_path / "c").glob("cluster=*")] == ["cluster=0001_T_a"]
 
