@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linekin.llm.common import stored
+from linekin.llm.common import small, stored
 from linekin.operators.graph import components
 
 MIN_CHARS = 20
@@ -136,7 +136,7 @@ def _place() -> Column:
 
 def _few(df: DataFrame, most: int = FEW) -> DataFrame:
     """The table, to be sent to every task if it is as small as that."""
-    return F.broadcast(df) if df.count() <= most else df
+    return small(df, most)
 
 
 def _counts(line: Column) -> list[Column]:
@@ -176,7 +176,8 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """(a, b): first places of the lines of (a, b) pairs of h1 values that are within that many edits."""
     both = pairs.alias("p").join(texts.alias("a"), F.col("p.a") == F.col("a.h1")).join(texts.alias("b"), F.col("p.b") == F.col("b.h1"))
-    near = both.where(may_be_near("a", "b", edits)).where(edit_distance(F.col("a.line"), F.col("b.line"), edits) <= edits)
+    # A case evaluates its branch only where it holds, also within a join.
+    near = both.where(F.when(may_be_near("a", "b", edits), edit_distance(F.col("a.line"), F.col("b.line"), edits) <= edits).otherwise(F.lit(False)))
     return near.select(F.col("a.first").alias("a"), F.col("b.first").alias("b"))
 
 
@@ -269,11 +270,12 @@ def without_repeats(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     by_doc = found.groupBy("doc_id").agg(F.countDistinct("pos").alias("n_lines"), F.collect_set(F.when(goes, F.col("pos"))).alias("gone"), near.alias("n_near"))
     by_doc = stored(by_doc.toDF("__id", "__lines", "__gone", "__near"), "line-verdicts")
     size = by_doc.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("__gone")).alias("m")).first()
-    if size["n"] <= FEW * 2 and (size["m"] or 0) <= FEW_NUMBERS:
-        by_doc = F.broadcast(by_doc)
-    out = docs.join(by_doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__id"), "left")
-    stay = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
-    text = F.when(F.size("__gone") > 0, F.array_join(stay, "\n")).otherwise(F.col("text"))
-    kept = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_near")]
-    counts = [F.coalesce("__lines", F.lit(0)), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")), F.coalesce("__near", F.lit(0))]
+    few = size["n"] <= FEW * 2 and (size["m"] or 0) <= FEW_NUMBERS
+    # Columns are named by their table, as documents may have columns of any name.
+    out = docs.join(F.broadcast(by_doc) if few else by_doc, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == by_doc["__id"], "left")
+    gone = by_doc["__gone"]
+    stay = F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.array_contains(gone, i))
+    text = F.when(F.size(gone) > 0, F.array_join(stay, "\n")).otherwise(docs["text"])
+    kept = [text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed", "n_near")]
+    counts = [F.coalesce(by_doc["__lines"], F.lit(0)), F.when(gone.isNull(), 0).otherwise(F.size(gone)), F.coalesce(by_doc["__near"], F.lit(0))]
     return out.select(*kept, *[c.cast("long").alias(n) for c, n in zip(counts, ("n_lines", "n_removed", "n_near"), strict=True)])

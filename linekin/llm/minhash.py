@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linekin.llm.common import mixed, stored, text_chunks, word_bounds, word_hashes
+from linekin.llm.common import mixed, small, stored, text_chunks, word_bounds, word_hashes
 from linekin.operators.graph import components
 
 WORDS = 5
@@ -276,7 +276,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rep, text, n_shingles, fine sketch, bands) of the wanted ids. Up to ``FEW`` ids go to every task, more are joined by a shuffle."""
     ids = stored(ids, "wanted")
     wanted = ids.withColumnRenamed("rep", "doc_id")
-    wanted = F.broadcast(wanted) if ids.count() <= FEW else wanted
+    wanted = small(wanted, FEW)
     # Copies of a row count once; an id with several texts keeps them all, and links by any.
     found = docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("h"))
     found = found.dropDuplicates(["rep", "h"]).select("rep", "text")

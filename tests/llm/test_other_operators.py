@@ -132,7 +132,6 @@ def test_nearest_recall_and_odd_tables(spark, monkeypatch):
 
 def test_remembered_cuts_are_the_librarys_ids():
     own, lib = Encoder(BPE), Tokenizer.from_file(BPE)
-    lib.encode_special_tokens = True
     r = random.Random(2)
     parts = ["the", " ", "  ", "\n", "'s", "'", "é", "don't", "\t", "12", "!!", "B", "ß", "　", "日", "\x1f", "\x85", "\xa0", "\xad", "<|endoftext|>", "²", "ª", "\r\n"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["a" * 3000, ""]
@@ -141,12 +140,11 @@ def test_remembered_cuts_are_the_librarys_ids():
 
 
 def test_shards_round_trip(spark):
-    texts = {7: "Hello there", -3: "", 2: None, 5: "é " * 40_000, 9: "same", 10: "same"}
+    texts = {7: "Hello there", -3: "", 2: None, 5: "é " * 40_000, 9: "same", 10: "same", 11: "a <|endoftext|> b"}
     rows = [*texts.items(), (None, "no id"), (7, "again")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int").repartition(3)
     shards = sstable.written(df, BPE)
     lib = Tokenizer.from_file(BPE)
-    lib.encode_special_tokens = True
     start = 0
     order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     got = sorted(sstable.read_back(shards).collect(), key=lambda x: x.start)
@@ -194,13 +192,26 @@ def test_pieces_are_the_librarys():
     for t in texts:
         ids = own.encode(t)
         assert ids.tolist() == lib.encode(t)
-        assert own.decode(ids).decode() == t.replace("▁", " ")
+        assert own.decode(ids).decode()[1:] == t.replace("▁", " ")
 
 
-def test_streaming_commits_early():
-    own, seen = pieces.Pieces(SPM), []
-    own.encode_known("hello world again " * 500, lambda ids: seen.append(len(ids)))
+def test_streaming_commits_early(monkeypatch):
+    own, lib, seen = pieces.Pieces(SPM), sentencepiece.SentencePieceProcessor(model_file=SPM), []
+    r = random.Random(8)
+    own.search(" " + "".join(r.choice("etaoinshr") for _ in range(20_000)), lambda ids: seen.append(len(ids)))
     assert len(seen) > 50 and max(seen) < 400
+    monkeypatch.setattr(pieces, "SLICE", 50)
+    texts = ["".join(r.choice("etaoin  日,\n") for _ in range(r.randint(0, 3000))) for _ in range(60)] + [" " * 500, "x" * 500, "a  b " * 300]
+    for t in texts:
+        parts = list(own.blocks(t))
+        assert "".join(p for p, _ in parts) == (" " + t if t else "") and own.encode(t).tolist() == lib.encode(t)
+        assert max((len(p) for p, _ in parts), default=0) <= 50 + max(map(len, re.split("(?<=[^ ])(?= )", " " + t)))
+
+
+def test_models_of_more_pieces_have_wider_ids():
+    own = pieces.Pieces(SPM)
+    own.code, own.dtype, own.memo = "I", np.dtype("I"), {}
+    assert own.encode("hello world").dtype == np.uint32
 
 
 def test_round_trip_table(spark):
