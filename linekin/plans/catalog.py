@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linekin.functions import text as X
-from linekin.functions.english import english_lemma, normalize_translation
-from linekin.operators import ablation, cluster, compare, cross, dense, evaluate, fuse, lemma, lookup, sample, stats, themes
+from linekin.operators import ablation, cluster, compare, cross, dense, evaluate, fuse, lookup, sample, stats, themes
 from linekin.operators import similarity as S
 from linekin.plans.storage import stored
 from linekin.sources.poems import split_verses, verses
@@ -744,33 +743,6 @@ def lev_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(b, "p_partkey").select(F.col("p_partkey").alias("id1"), "id2", F.round(X.levenshtein_similarity(F.col("p_name"), F.col("other")), 9).alias("similarity"))
 
 
-_LEX = [("kala", 0, "kala", 9, 9, 0, 0), ("tule", 0, "tulema", 5, 5, 0, 0), ("tule", 1, "tuli", 7, 0, 4, 3), ("maa", 0, "maa", 3, 3, 0, 0), ("maa", 1, "maata", 4, 0, 4, 0), ("laul", 0, "laul", 2, 1, 1, 0), ("laul", 1, "laulma", 2, 1, 1, 0)]
-_DIST = [("tule", "tulema", 10, 1), ("tule", "tuli", 2, 5), ("maa", "maa", 6, 0), ("maa", "maata", 1, 0), ("laul", "laul", 4, 2), ("laul", "laulma", 4, 5)]
-
-
-@query("SELECT * FROM (VALUES ('kala', 'kala'), ('tule', 'tuli'), ('maa', 'maa'), ('laul', 'laulma')) AS t(wordform, lemma)")
-def lemma_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = spark.createDataFrame(_LEX, "wordform string, place int, l string, c int, e int, s int, j int")
-    return lemma.resolved(entries, spark.createDataFrame(_DIST, "wordform string, lemma string, corpus_n int, llm_n int"))
-
-
-@query()
-def translation_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The translation leg: English words stand for their own glosses, in normal form."""
-    own = lines(spark, sf_dir).where("lang = 'en'")
-    toks = stored(S.tokens(own), "tokens")
-    glosses = toks.select(F.col("token").alias("wordform")).distinct().withColumn("english", F.concat(F.lit("to "), "wordform")).withColumn("pos", F.lit("VERB"))
-    t = stored(lemma.translations(toks, glosses), "translations")
-    w = stored(S.weighted(t, S.vocabulary(t)), "weights")
-    return _rows(legs(own, w, ("cosine",), exclude_same_poem=True, exclude_first=False)["cosine"])
-
-
-@query()
-def english_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lines(spark, sf_dir).where("lang = 'en'").select(F.explode(X.words(F.col("text"))).alias("word")).distinct()
-    return words.select("word", english_lemma(F.col("word")).alias("lemma"), normalize_translation(F.concat(F.lit("the "), F.col("word"))).alias("translation"))
-
-
 @query("SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)) WHERE r <= 8")
 def first_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))

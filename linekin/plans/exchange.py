@@ -7,11 +7,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linekin.functions import english
+from linekin.functions import text as X
 from linekin.functions.unicode import html_unescape
 from linekin.operators import compare, cross, dense, lemma, lookup, themes
 from linekin.operators import similarity as S
 from linekin.plans import catalog as C
-from linekin.plans.catalog import M, T, V, _COS, _E, _OUT, _TOP_, FM, H, legs, lines, members, membership, query, table
+from linekin.plans.catalog import M, T, V, _COS, _E, _OUT, _TOP_, FM, H, _top, legs, lines, members, membership, query, table
 from linekin.plans.storage import new_path, stored
 from linekin.sources import poems, sinks
 
@@ -264,3 +266,83 @@ def lemma_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stored(table(spark, sf_dir, "pages").select("page_id", html_unescape(F.col("html")).alias("t")), "decoded")
     return t.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+# ---- English lemmas and translations ---------------------------------------------------------------------------------------
+
+
+def _listed(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _stem_sql(s: str) -> str:
+    return f"CASE WHEN right({s}, 1) = substr({s}, -2, 1) AND length({s}) > 1 AND right({s}, 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN left({s}, length({s}) - 1) WHEN regexp_matches({s}, '(^|[^aeiou])[aeiou][^aeiou]$') THEN {s} || 'e' ELSE {s} END"
+
+
+_IRREGULAR = "irr AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in english.IRREGULAR.items()) + ") AS v(form, base))"
+_LEMMA_SQL = f"""CASE WHEN contains(t, ' ') THEN t WHEN base IS NOT NULL THEN base WHEN t IN ({_listed(english.KEEPS_S)}) THEN t
+WHEN ends_with(t, 'ing') AND length(t) >= 6 AND t NOT IN ({_listed(english.KEEPS_ING)}) THEN CASE WHEN t IN ({_listed(english.DOUBLED_ING)}) THEN left(t, length(t) - 4) ELSE {_stem_sql('left(t, length(t) - 3)')} END
+WHEN ends_with(t, 'ies') AND length(t) >= 5 THEN left(t, length(t) - 3) || 'y' WHEN regexp_matches(t, '(sh|ch|x|z|ss)es$') AND length(t) >= 5 THEN left(t, length(t) - 2)
+WHEN ends_with(t, 's') AND NOT ends_with(t, 'ss') AND length(t) >= 4 THEN left(t, length(t) - 1)
+WHEN ends_with(t, 'ed') AND length(t) >= 5 AND t NOT IN ({_listed(english.KEEPS_ED)}) THEN CASE WHEN ends_with(t, 'ied') THEN left(t, length(t) - 3) || 'y' WHEN ends_with(t, 'eed') THEN t ELSE {_stem_sql('left(t, length(t) - 2)')} END ELSE t END"""
+#: Words that stand for their own translations: the parts that normalisation cuts do not occur in single words but 's.
+_ENGLISH = f"""{_IRREGULAR}, ew AS (SELECT DISTINCT token AS w FROM words WHERE vid IN (SELECT vid FROM verses WHERE lang = 'en')), et AS (SELECT w, w AS t FROM ew),
+el AS (SELECT w, {_LEMMA_SQL} AS lemma FROM et LEFT JOIN irr ON form = t)"""
+
+
+@query(f"WITH {T}, {_ENGLISH} SELECT w AS word, lemma, CASE WHEN contains(w, '?') OR w IN ('unclear', 'unknown') OR starts_with(w, '**') OR length(lemma) < 2 THEN NULL ELSE lemma END AS translation FROM el")
+def english_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lines(spark, sf_dir).where("lang = 'en'").select(F.explode(X.words(F.col("text"))).alias("word")).distinct()
+    return words.select("word", english.english_lemma(F.col("word")).alias("lemma"), english.normalize_translation(F.col("word")).alias("translation"))
+
+
+_TRANSLATED = f"""{T}, {_ENGLISH}, eu AS (SELECT vid, token FROM words WHERE vid IN (SELECT vid FROM verses WHERE lang = 'en') AND vid IN (SELECT vid FROM words GROUP BY vid HAVING count(*) >= 2)),
+tt AS (SELECT DISTINCT eu.vid, CASE WHEN contains(w, '?') OR w IN ('unclear', 'unknown') OR length(lemma) < 2 THEN NULL ELSE lemma END AS token FROM eu JOIN el ON el.w = eu.token),
+t2 AS (SELECT * FROM tt WHERE token IS NOT NULL), t3 AS (SELECT * FROM t2 WHERE vid IN (SELECT vid FROM t2 GROUP BY vid HAVING count(*) >= 2)),
+n2 AS (SELECT count(DISTINCT vid) AS n FROM t3), f2 AS (SELECT token, count(*) AS df FROM t3 GROUP BY token), v2 AS (SELECT token, df, ln(n2.n / df) AS idf FROM f2, n2 WHERE df >= 5 AND df <= floor(n2.n * 0.05)),
+w2 AS (SELECT t.vid, t.token, v.idf FROM t3 t JOIN v2 v ON v.token = t.token)"""
+
+
+@query(f"WITH {_TRANSLATED}, {_COS.replace('wt', 'w2')}, {_top(after='pa <> pb')} {_OUT}")
+def translation_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The translation leg: English words stand for their own glosses, in normal form."""
+    own, w = _translations(spark, sf_dir)
+    return C._rows(legs(own, w, ("cosine",), exclude_same_poem=True, exclude_first=False)["cosine"])
+
+
+def _translations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = lines(spark, sf_dir).where("lang = 'en'")
+    toks = stored(S.tokens(own), "tokens")
+    glosses = toks.select(F.col("token").alias("wordform")).distinct().withColumn("english", F.concat(F.lit("to "), "wordform")).withColumn("pos", F.lit("VERB"))
+    found = stored(lemma.translations(toks, glosses), "translations")
+    return own, stored(S.weighted(found, S.vocabulary(found)), "weights")
+
+
+# ---- the lemma of a word form from two counts, over words of the documents -----------------------------------------------------
+
+#: Each word of the documents is a form with up to two lemmas: itself, and itself without its last letter. Their counts are
+#: those of the forms by language; the second track counts the forms in documents of even ids.
+_LEXICON = f"""{T}, wc AS (SELECT w.token AS form, count(*) AS c, count(*) FILTER (v.lang = 'en') AS e, count(*) FILTER (v.lang <> 'en') AS s, count(*) FILTER (CAST(v.poem_id AS BIGINT) % 2 = 0) AS h FROM words w JOIN verses v ON v.vid = w.vid GROUP BY 1),
+en AS (SELECT form, 0 AS place, form AS l, c, e, s FROM wc UNION ALL SELECT a.form, 1, b.form, b.c, b.e, b.s FROM wc a JOIN wc b ON b.form = left(a.form, length(a.form) - 1)),
+di AS (SELECT form, form AS lk, c % 7 AS cs, h % 5 AS ds FROM wc WHERE c > 1 UNION ALL SELECT a.form, b.form, b.c % 5, b.h % 3 FROM wc a JOIN wc b ON b.form = left(a.form, length(a.form) - 1) WHERE a.c > 1),
+ev AS (SELECT form, max(ds) AS true_max, count(*) FILTER (cs > 0) AS n_corpus, count(*) FILTER (ds > 0) AS n_llm FROM di GROUP BY 1),
+ro AS (SELECT en.*, coalesce(di.cs, 0) AS cs, coalesce(di.ds, 0) AS ds FROM en LEFT JOIN di ON di.form = en.form AND di.lk = en.l),
+o AS (SELECT *, row_number() OVER (PARTITION BY form ORDER BY cs DESC, place) AS rc, row_number() OVER (PARTITION BY form ORDER BY ds DESC, place) AS rd, row_number() OVER (PARTITION BY form ORDER BY c DESC, place) AS rt, count(*) OVER (PARTITION BY form) AS n FROM ro),
+b AS (SELECT form, any_value(n) AS n, max(CASE WHEN rc = 1 THEN l END) AS cl, max(CASE WHEN rc = 1 THEN cs END) AS c1, max(CASE WHEN rc = 2 THEN cs END) AS c2, max(CASE WHEN rc = 1 THEN e - s END) AS cg, max(CASE WHEN rd = 1 THEN l END) AS dl, max(CASE WHEN rd = 1 THEN ds END) AS d1, max(CASE WHEN rd = 2 THEN ds END) AS d2, max(CASE WHEN rd = 1 THEN e - s END) AS dg, max(CASE WHEN rt = 1 THEN l END) AS top FROM o GROUP BY form),
+x AS (SELECT b.*, true_max, d1 >= 1 AND (n_llm = 1 OR d1 >= 2) AS strong, coalesce(sign(cg) <> sign(dg) AND cg <> 0 AND dg <> 0, false) AS crossed, coalesce(n_corpus, 0) AS n_corpus,
+  1 - levenshtein(b.form, dl) / greatest(length(b.form), length(dl)) >= 1 - levenshtein(b.form, cl) / greatest(length(b.form), length(cl)) AS nearer FROM b LEFT JOIN ev ON ev.form = b.form)"""
+
+
+@query(f"WITH {_LEXICON} SELECT form AS wordform, CASE WHEN n = 1 THEN cl WHEN true_max IS NULL THEN top WHEN cl = dl THEN cl WHEN d1 = 0 THEN cl WHEN d1 < true_max THEN cl WHEN d2 = d1 THEN cl WHEN crossed AND strong THEN dl WHEN n_corpus <= 1 AND strong AND nearer THEN dl WHEN c2 = c1 THEN dl ELSE cl END AS lemma FROM x")
+def lemma_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = lines(spark, sf_dir)
+    words = S.tokens(v, least=1).join(v.select("vid", "poem_id", "lang"), "vid")
+    count = lambda test: F.count_if(test)
+    wc = words.groupBy(F.col("token").alias("form")).agg(F.count(F.lit(1)).alias("c"), count(F.col("lang") == "en").alias("e"), count(F.col("lang") != "en").alias("s"), count(F.col("poem_id").cast("long") % 2 == 0).alias("h"))
+    wc = stored(wc, "forms")
+    shorter = wc.select(F.col("form").alias("a"), F.col("c").alias("ac"), F.expr("left(form, length(form) - 1)").alias("b")).join(wc.withColumnRenamed("form", "b"), "b")
+    zero = F.lit(0).cast("long").alias("j")
+    entries = wc.select(F.col("form").alias("wordform"), F.lit(0).alias("place"), F.col("form").alias("l"), "c", "e", "s", zero).union(shorter.select("a", F.lit(1), "b", "c", "e", "s", zero))
+    dist = wc.where("c > 1").select(F.col("form").alias("wordform"), F.col("form").alias("lemma"), (F.col("c") % 7).alias("corpus_n"), (F.col("h") % 5).alias("llm_n"))
+    dist = dist.union(shorter.where("ac > 1").select("a", "b", F.col("c") % 5, F.col("h") % 3))
+    return lemma.resolved(entries, dist)
