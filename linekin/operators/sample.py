@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linekin.operators.order import placed
+
 
 def hashed(key: str, seed: int = 42) -> Column:
     """A hash that other engines have too."""
@@ -25,8 +27,8 @@ def stratified(rows: DataFrame, key: str, stratum: Column, sizes: dict[str, int]
 def by_size_halves(clusters: DataFrame, each: int = 50, seed: int = 42) -> DataFrame:
     """``each`` clusters of the smaller half by (size, cluster_id) and of the larger one."""
     n = clusters.agg(F.count(F.lit(1)).alias("_n"))
-    out = clusters.crossJoin(F.broadcast(n)).withColumn("_p", F.row_number().over(Window.orderBy("size", "cluster_id")))
-    out = out.withColumn("half", F.when(F.col("_p") * 2 <= F.col("_n"), "small").otherwise("large"))
+    out = placed(clusters, F.asc("size"), F.asc("cluster_id"), name="_p").crossJoin(F.broadcast(n))
+    out = out.withColumn("half", F.when((F.col("_p") + 1) * 2 <= F.col("_n"), "small").otherwise("large"))
     return out.withColumn("_r", F.row_number().over(Window.partitionBy("half").orderBy(hashed("cluster_id", seed), "cluster_id"))).where(F.col("_r") <= each).drop("_r", "_p", "_n")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linekin.functions import english
 from linekin.functions import text as X
 from linekin.functions.unicode import html_unescape
-from linekin.operators import compare, cross, dense, lemma, lookup, themes
+from linekin.operators import compare, cross, dense, encode, fuse, lemma, lookup, themes
 from linekin.operators import similarity as S
 from linekin.plans import catalog as C
 from linekin.plans.catalog import M, T, V, _COS, _E, _OUT, _TOP_, FM, H, _top, legs, lines, members, membership, query, table
@@ -346,3 +346,63 @@ def lemma_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     dist = wc.where("c > 1").select(F.col("form").alias("wordform"), F.col("form").alias("lemma"), (F.col("c") % 7).alias("corpus_n"), (F.col("h") % 5).alias("llm_n"))
     dist = dist.union(shorter.where("ac > 1").select("a", "b", F.col("c") % 5, F.col("h") % 3))
     return lemma.resolved(entries, dist)
+
+
+# ---- five lists of the lines, fused --------------------------------------------------------------------------------------------
+
+
+def char_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vid, vec): which of the 200 most frequent character bigrams a line's normal form has, as unit vectors."""
+    normal = F.array_join(F.filter(F.transform(F.split("text", r"\s+"), X.normalize_word), lambda w: w != ""), " ")
+    v = stored(lines(spark, sf_dir).select("vid", normal.alias("text")).where(F.length("text") >= 2), "normal-lines")
+    vocab = S.bigram_vocabulary(v, F.col("text")).agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    grams = X.char_ngrams(F.col("text"), 2)
+    rows = v.crossJoin(F.broadcast(vocab)).select("vid", "tokens", grams.alias("grams"))
+    return stored(dense.normalized(rows.select("vid", F.transform("tokens", lambda t: F.array_contains("grams", t).cast("double")).alias("vec"))), "char-vectors")
+
+
+def _described(spark: SparkSession, sf_dir: str, top: DataFrame) -> DataFrame:
+    v = lines(spark, sf_dir).select("vid", "poem_id", "lang")
+    rows = top.join(v.toDF("src", "pa", "la"), "src").join(v.toDF("dst", "pb", "lb"), "dst")
+    return rows.select("src", "rank", "dst", "score", X.match_type(F.col("pa"), F.col("pb"), F.col("la"), F.col("lb")).alias("mtype"))
+
+
+@query()
+def charbigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The character-bigram leg over lines: the 50 best with a cosine of 0.6 or more, equal texts and all."""
+    return C._rows(_described(spark, sf_dir, dense.exact_neighbours(char_vectors(spark, sf_dir), min_score=0.6)))
+
+
+def sentence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of lines; hashed words stand for a sentence encoder, which ``operators.encode.encoded`` takes where there is one."""
+    v = lines(spark, sf_dir).select("vid", encode.hashed_words(F.col("text")).alias("vec"))
+    return stored(dense.centred(v), "sentence-vectors")
+
+
+@query()
+def sentence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence leg over lines: 49 neighbours above each line's noise floor, none of its own poem."""
+    top = stored(dense.exact_neighbours(sentence_vectors(spark, sf_dir), k=49), "sentence-lists")
+    return C._rows(_described(spark, sf_dir, dense.adaptive_floor(top)).where("mtype <> 'w'"))
+
+
+def _five(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    own, w = _translations(spark, sf_dir)
+    found = {
+        "jaccard": jaccard_lists(spark, sf_dir),
+        "tfidf": legs(lines(spark, sf_dir), _lemma_weights(spark, sf_dir), ("cosine",))["cosine"],
+        "translation": legs(own, w, ("cosine",), exclude_same_poem=True, exclude_first=False)["cosine"],
+        "charbigram": dense.exact_neighbours(char_vectors(spark, sf_dir), min_score=0.6),
+        "sentence": sentence_topk(spark, sf_dir),
+    }
+    return {name: stored(rows.where("rank < 30").select("src", "rank", "dst"), f"list-{name}") for name, rows in found.items()}
+
+
+def jaccard_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C._leg(spark, sf_dir, "jaccard")
+
+
+@query()
+def rrf_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five lists, fused."""
+    return C._fused_rows(fuse.fused(fuse.union_lists(_five(spark, sf_dir))))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from linekin.functions.text import ET_OVERRIDES
-from linekin.operators import ablation, cluster, cross, dense, evaluate, fuse, lemma, sample, stats, themes
+from linekin.operators import ablation, cluster, cross, dense, encode, evaluate, fuse, lemma, order, sample, stats, themes
 from linekin.operators import similarity as S
 from linekin.operators.graph import components
 from linekin.operators.lookup import lowered_min_df
@@ -310,3 +312,70 @@ def test_override_lists(spark, tmp_path):
     (tmp_path / "o.json").write_text(json.dumps({"finnish_pids": [{"pid": "ERA 1", "x": 1}, {"pid": "H 2"}]}))
     assert {x.poem_id for x in poems.read_overrides(spark, str(tmp_path / "o.json")).collect()} == {"ERA 1", "H 2"}
     assert len(set(ET_OVERRIDES)) == 35 and "JR 03705" in ET_OVERRIDES and lowered_min_df(5, 100) == 2 and lowered_min_df(5, None) == 5
+
+
+def test_places_are_dealt_in_ranges(spark):
+    rows = spark.createDataFrame([(i * 7 % 101, "x") for i in range(101)], "k long, v string").repartition(5)
+    got = order.placed(rows, F.desc("k"))
+    assert {(x.k, x.place) for x in got.collect()} == {(k, 100 - k) for k in range(101)}
+    assert order.placed(rows.limit(0), F.asc("k")).count() == 0
+
+
+def test_encoders(spark):
+    v = spark.createDataFrame([("a", "aa bb bb"), ("b", ""), ("c", None), ("d", "cc")], "vid string, text string")
+    letters = lambda texts: np.array([[t.count("a"), t.count("b")] for t in texts], float)
+    got = {x.vid: x.vec for x in encode.encoded(v, letters).collect()}
+    assert got.keys() == {"a"} and np.allclose(got["a"], np.array([2, 4]) / math.sqrt(20))
+    vec = {x.vid: x.vec for x in v.select("vid", encode.hashed_words(F.col("text"), 8).alias("vec")).where("text is not null").collect()}
+    want = [0.0] * 8
+    for w in ("aa", "bb"):
+        h = hashlib.md5(w.encode()).hexdigest()
+        want[int(h[:6], 16) % 8] += 1.0 if int(h[6], 16) < 8 else -1.0
+    assert vec["a"] == want and vec["b"] == [0.0] * 8
+
+
+def test_lemma_cascade_by_hand(spark):
+    entries = [("kala", 0, "kala", 9, 9, 0, 0), ("tule", 0, "tulema", 5, 5, 0, 0), ("tule", 1, "tuli", 7, 0, 4, 3), ("maa", 0, "maa", 3, 3, 0, 0), ("maa", 1, "maata", 4, 0, 4, 0), ("laul", 0, "laul", 2, 1, 1, 0), ("laul", 1, "laulma", 2, 1, 1, 0)]
+    counts = [("tule", "tulema", 10, 1), ("tule", "tuli", 2, 5), ("maa", "maa", 6, 0), ("maa", "maata", 1, 0), ("laul", "laul", 4, 2), ("laul", "laulma", 4, 5)]
+    found = lemma.resolved(spark.createDataFrame(entries, "wordform string, place int, l string, c int, e int, s int, j int"), spark.createDataFrame(counts, "wordform string, lemma string, corpus_n int, llm_n int"))
+    assert {x.wordform: x.lemma for x in found.collect()} == {"kala": "kala", "tule": "tuli", "maa": "maa", "laul": "laulma"}
+
+
+def test_five_lists_match_plain_ones(spark, tmp_path):
+    """Character bigrams and sentence vectors of the lines of a small table, and the fusion of all five lists."""
+    from linekin.plans.catalog import QUERIES
+
+    r = random.Random(12)
+    vocabulary = "river mountain story window garden council evening market village season letter".split()
+    base = [" ".join(r.choice(vocabulary) for _ in range(r.randint(3, 6))) for _ in range(12)]
+    texts = ["\n".join(r.choice(base) + r.choice(["", " again", " once"]) for _ in range(r.randint(1, 4))) for _ in range(24)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    v = {f"{i}:{k}": line for i, t in enumerate(texts) for k, line in enumerate(t.split("\n"))}
+    grams = {a: {t[k : k + 2] for k in range(len(t) - 1)} for a, t in v.items()}
+    df = {}
+    for g in grams.values():
+        for x in g:
+            df[x] = df.get(x, 0) + 1
+    kept = set(sorted(df, key=lambda x: (-df[x], x))[:200])
+    grams = {a: g & kept for a, g in grams.items()}
+    want = {}
+    for a in grams:
+        best = sorted((-round(s, 9), b) for b in grams if b != a and (s := len(grams[a] & grams[b]) / math.sqrt(len(grams[a]) * len(grams[b]))) >= 0.6)
+        want |= {(a, k): b for k, (_, b) in enumerate(best[:50])}
+    got = QUERIES["charbigram_topk"](spark, str(tmp_path)).collect()
+    assert {(x.src, x["rank"]): x.dst for x in got} == want
+    sent = QUERIES["sentence_topk"](spark, str(tmp_path)).collect()
+    assert all(x.src.split(":")[0] != x.dst.split(":")[0] and x.score >= 0.3 - 1e-6 for x in sent)
+    from linekin.plans import exchange
+
+    lists = {n: d.collect() for n, d in exchange._five(spark, str(tmp_path)).items()}
+    assert list(lists) == ["jaccard", "tfidf", "translation", "charbigram", "sentence"]
+    total = {}
+    for no, (_, rows) in enumerate(lists.items()):
+        for x in rows:
+            total.setdefault((x.src, x.dst), []).append((no, x["rank"]))
+    passed = {p: sum(1 / (60 + k) for _, k in t) for p, t in total.items() if len(t) >= 2 and sum(1 / (60 + k) for _, k in t) >= 0.033}
+    fused = {(x.src, x.dst): x.rrf for x in QUERIES["rrf_five"](spark, str(tmp_path)).collect()}
+    assert fused and all(abs(passed[p] - s) < 1e-8 for p, s in fused.items())
+    for a in {a for a, _ in passed}:
+        assert sum(p[0] == a for p in fused) == min(20, sum(p[0] == a for p in passed))
