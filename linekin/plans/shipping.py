@@ -12,14 +12,16 @@ from pyspark.sql import SparkSession
 _SENT: set[str] = set()
 #: Rows of a batch for Python workers: rows may be long texts, and a worker holds a batch or two at once.
 BATCH_ROWS = "1000"
+#: What an unset value is read as.
+UNSET = "10001"
 
 
 def ship(spark: SparkSession) -> None:
     """Adds this package, as a zip file, to the files that Spark sends to its workers, once an application.
 
-    Batches are made smaller where the session has Spark's default; another value stays.
+    Batches are made smaller where the session has no value of its own; one that is set stays.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", UNSET) == UNSET:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SENT:
