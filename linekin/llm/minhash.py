@@ -7,10 +7,11 @@ A document's set is its distinct 5-word shingles (as 64-bit hashes). A sketch ha
 shingle reaches gives none.
 
 Candidates. A bucket's hub is the member that shares most bucket places with others; every member is compared with
-its hub, which is linear in the bucket however large it is. Verified links are contracted to components; only buckets
-that still hold several components are compared further, in tiles of sketches, whose tasks hand on only the pairs of
-different components that pass the estimate. No cap: every pair that shares a bucket ends up in one component or is
-compared.
+its hub, which is linear in the bucket however large it is; a hub of many members is sent to several tasks, each with some
+of them. Verified links are contracted to components; only buckets that still hold several components are compared
+further, in tiles of sketches and texts: a tile's task verifies the pairs of different components that pass the
+estimate, joins components as it finds links, and hands on only the links that joined two. No cap: every pair that shares a
+bucket ends up in one component or is compared.
 
 Comparison. The share of equal registers, less the expected number of chance collisions of compressed registers,
 estimates the Jaccard similarity; a pair that may reach the threshold (``MARGIN`` standard deviations) is verified on the
@@ -44,8 +45,10 @@ BANDS, ROWS = 25, 5
 MARGIN = 3.2
 #: Constant of the expected chance collisions of a HyperMinHash sketch, as published.
 COLLISIONS = 0.169919487159739093975315012348630288992889
-#: Members of a block of a bucket; two blocks are compared in one task.
-TILE = 1024
+#: Members of a block of a bucket, and their shingles; two blocks are compared in one task.
+TILE, TILE_SHINGLES = 512, 1 << 20
+#: A hub with more members than this goes to ``SALTS`` tasks.
+SPLIT, SALTS = 1024, 32
 
 
 def shingles(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +174,23 @@ def _estimated(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    one = lambda c: reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-    return pairs.join(one("a"), "a").join(one("b"), "b")
+def _met(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(a, b) pairs with columns of both from ``table`` (rep, ...), named like {column: prefix}; b is a hub.
+
+    Members are joined by their own id. The hubs of more than ``SPLIT`` pairs are repeated ``SALTS`` times, and their pairs dealt
+    among the copies, so no task holds all members of a hub.
+    """
+    one = lambda c: table.select(F.col("rep").alias(c), *[F.col(k).alias(f"{v}{c}") for k, v in columns.items()])
+    hot = stored(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select(F.col("b").alias("hot")), "hot-hubs")
+    salted = pairs.withColumn("salt", F.lit(0))
+    hubs = one("b").withColumn("salt", F.lit(0))
+    if not hot.isEmpty():
+        few = small(hot)
+        dealt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).otherwise(0)
+        salted = pairs.join(few, F.col("b") == F.col("hot"), "left").withColumn("salt", dealt).drop("hot")
+        copies = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        hubs = one("b").join(few, F.col("b") == F.col("hot"), "left").withColumn("salt", F.explode(copies)).drop("hot")
+    return salted.join(one("a"), "a").join(hubs, ["b", "salt"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -196,38 +213,58 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     keep[k + i] = both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    one = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"t{c}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long")
+    return _met(pairs, texts, {"text": "t"}).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _tiled(members: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and may reach the threshold by their fine sketches.
+    """Links between different components of a bucket's members, enough to join all components that are linked there.
 
-    Two blocks of a bucket meet in one task. Of the buckets that a pair shares, the one with the least key hands it on.
+    Two blocks of a bucket meet in one task. Of the buckets that a pair shares, the one with the least key compares it.
     """
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sums = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
+    blocks = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("m") / TILE_SHINGLES)).cast("int")
+    rows = members.join(sums.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "fine", "bands")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "fine", "bands", "text")
 
     def run(t: pa.Table) -> pa.Table:
         block, rep, comp, size = (t.column(c).to_numpy() for c in ("block", "rep", "component", "n_shingles"))
         regs = _registers(t.column("fine"), GROUPS * FINE)
         keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), BANDS)
         key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
+        texts = t.column("text")
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out: list[np.ndarray] = []
-        for x in left:
+        sets: dict[int, np.ndarray] = {}
+        parent: dict[int, int] = {}
+
+        def own(x: int) -> np.ndarray:
+            if x not in sets:
+                raw = np.frombuffer(texts[x].as_py().encode(), np.uint8)
+                sets[x] = shingles(raw, np.array([0, len(raw)]))[0]
+            return sets[x]
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        out: list[tuple[int, int]] = []
+        for x in left.tolist():
             some = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | (i != j))]
             if len(some):
                 shared = (keys[some] == keys[x]) & (keys[x] != 0) & (keys[x] < key)
                 some = some[~shared.any(1)]
             if len(some):
                 some = some[may_reach(regs[x][None], regs[some], size[x], size[some])]
-                out.append(np.stack([np.minimum(rep[x], rep[some]), np.maximum(rep[x], rep[some])], 1))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+            for y in some.tolist():
+                a, b = root(comp[x]), root(comp[y])
+                if a == b:
+                    continue
+                both = len(np.intersect1d(own(x), own(y), assume_unique=True))
+                if both and 100 * both >= PERCENT * (size[x] + size[y] - both):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((rep[x], rep[y]))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -247,8 +284,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     weight = members.groupBy("rep").agg(F.sum(F.col("n") * F.col("bands")).alias("weight"))
     weighed = members.join(weight, "rep")
     hub = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("top")).select("key", (-F.col("top.rep")).alias("hub"))
-    first = members.join(hub, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    first = stored(_estimated(_with_sketches(first, reps)), "pairs")
+    first = stored(members.join(hub, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "hub-pairs")
+    first = stored(_estimated(_met(first, reps, {"n_shingles": "n", "registers": "r"})), "pairs")
     involved = members.select("rep").distinct()
     texts = stored(_texts(docs, involved), "texts")
     links = stored(_verified(first, texts), "verified")
@@ -257,9 +294,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = members.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_ = labelled.drop("bands").join(split, "key").where("n > 2")
-    open_ = open_.join(texts.select("rep", "n_shingles", "fine", "bands"), "rep")
-    rest = stored(_tiled(open_).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(stored(_verified(rest, texts), "verified"))
+    open_ = open_.join(texts.select("rep", "n_shingles", "fine", "bands", "text"), "rep")
+    links = links.union(stored(_tiled(open_), "tile-links"))
     top = components(links)
     by_set = reps.select("k1", "k2", "n_shingles", "rep").join(top.withColumnRenamed("node", "rep"), "rep", "left")
     by_set = by_set.select("k1", "k2", F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("_component"))

@@ -60,6 +60,8 @@ def edited(r, words, share):
 def test_near_duplicates_match_brute_force(spark, monkeypatch):
     r = random.Random(1)
     monkeypatch.setattr(minhash, "TILE", 16)
+    monkeypatch.setattr(minhash, "SPLIT", 20)
+    monkeypatch.setattr(minhash, "SALTS", 3)
     texts = [None, "", " \t\n", "One", "one", "ONE two", "one two three four", "É é", "the " * 400]
     for _ in range(25):
         base = [f"w{r.randrange(5000)}" for _ in range(r.choice([5, 6, 9, 30, 200]))]
