@@ -1,9 +1,9 @@
 """Near-duplicate vectors: PCA-ordered tiled comparison with early stopping.
 
 Equal vectors collapse to one with a count first. Unit vectors are rotated onto principal axes (of a bounded sample;
-any rotation keeps products, so the sample only affects speed) and dealt to blocks by their first coordinate. Two
-blocks are compared only if their first coordinates come within the distance that the threshold allows. Inside a
-pair of blocks, tiles accumulate the leading dimensions first; a product cannot grow by more than the product of
+any rotation keeps products, so the sample only affects speed) and dealt to blocks by median cuts of their leading
+coordinates; a block that the cuts leave too large, as of vectors that agree there, is split by a hash. Two blocks are
+compared only if the boxes of their leading coordinates come within the distance that the threshold allows. Inside a pair of blocks, tiles accumulate the leading dimensions first; a product cannot grow by more than the product of
 the suffix norms, so a tile, and then each pair, stops once its cosine cannot reach the threshold. What survives is
 confirmed with the cosine of the original vectors in double precision.
 
@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linekin.llm.common import stored
+from linekin.llm.common import mixed, stored
 from linekin.operators.graph import components
 from linekin.llm.vectors import unpacked, valid_vectors
 
 COSINE = 0.95
-BLOCK, TILE = 8192, 1024
+BLOCK, TILE = 4096, 1024
+#: Leading coordinates that blocks are cut by.
+LEADING = 8
 #: Vectors that the principal axes are fitted on, at most about.
 SAMPLE = 20_000
 #: Allowance for rounding in rotated products; survivors are confirmed exactly.
@@ -44,6 +46,48 @@ def principal_axes(units: np.ndarray) -> np.ndarray:
     return axes[:, ::-1]
 
 
+def cuts_of(z: np.ndarray, share: int) -> list[tuple[int, float, int, int]]:
+    """A tree of cuts (axis, value, node below, node from the value on; a leaf has axis -1 and its number) of sampled coordinates.
+
+    Each cut is at the median of the axis with the largest spread, until a leaf holds ``share`` sampled rows or agrees.
+    """
+    nodes: list[tuple[int, float, int, int]] = []
+    leaves = 0
+
+    def grow(rows: np.ndarray) -> int:
+        nonlocal leaves
+        at = len(nodes)
+        nodes.append((-1, 0.0, 0, 0))
+        if len(rows) > share:
+            axis = int(np.argmax(rows.max(0) - rows.min(0)))
+            value = float(np.median(rows[:, axis]))
+            below = rows[:, axis] < value
+            if below.any():
+                nodes[at] = (axis, value, grow(rows[below]), grow(rows[~below]))
+                return at
+        nodes[at] = (-1, 0.0, leaves, 0)
+        leaves += 1
+        return at
+
+    grow(z)
+    return nodes
+
+
+def leaf_of(z: np.ndarray, nodes: list[tuple[int, float, int, int]]) -> np.ndarray:
+    """The leaf of each row."""
+    out = np.zeros(len(z), np.int32)
+    stack = [(0, np.arange(len(z)))]
+    while stack:
+        node, rows = stack.pop()
+        axis, value, left, right = nodes[node]
+        if axis < 0:
+            out[rows] = left
+        elif len(rows):
+            below = z[rows, axis] < value
+            stack += [(left, rows[below]), (right, rows[~below])]
+    return out
+
+
 class Side:
     """The vectors of one block: originals, norms, rotated units and their suffix norms at each stop."""
 
@@ -127,31 +171,43 @@ def near_vectors(table: DataFrame, column: str = "embedding", least: float = COS
     axes = principal_axes(some / np.sqrt((some * some).sum(1))[:, None])
     stops = sorted({max(1, dims // 4), max(1, dims // 2), max(1, 3 * dims // 4)})
 
+    lead = min(LEADING, dims)
+    share = max(1, int(len(some) * min(1.0, BLOCK / n)))
+    nodes = cuts_of((some / np.sqrt((some * some).sum(1))[:, None]) @ axes[:, :lead], share)
+
     def coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = unpacked(batch.column(2), dims)
-            first = (x @ axes[:, 0]) / np.sqrt((x * x).sum(1)) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first)], names=["rep", "copies", "vec", "first"])
-
-    placed = stored(reps.select("rep", "copies", "vec").mapInArrow(coordinates, "rep long, copies long, vec binary, first double"), "placed")
-    count = -(-n // BLOCK)
-    cuts = np.array(placed.approxQuantile("first", [k / count for k in range(1, count)], 0.05 / count) if count > 1 else [])
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + SLACK
-    low, high = np.concatenate([[-np.inf], cuts]), np.concatenate([cuts, [np.inf]])
+            z = (x @ axes[:, :lead]) / np.sqrt((x * x).sum(1))[:, None] if len(x) else np.zeros((0, lead))
+            values = pa.FixedSizeListArray.from_arrays(pa.array(z.ravel()), lead).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf_of(z, nodes)), values], names=["rep", "copies", "vec", "leaf", "z"])
+
+    placed = stored(reps.select("rep", "copies", "vec").mapInArrow(coordinates, "rep long, copies long, vec binary, leaf int, z array<double>"), "placed")
+    # A row of 2 * LEADING + 2 numbers a leaf, one leaf for about BLOCK vectors.
+    bounds = [f(F.col("z")[k]).alias(f"{name}{k}") for name, f in (("lo", F.min), ("hi", F.max)) for k in range(lead)]
+    boxes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *bounds).orderBy("leaf").collect()
+    number = {r["leaf"]: i for i, r in enumerate(boxes)}
+    low, high = (np.array([[r[f"{name}{k}"] for k in range(lead)] for r in boxes]) for name in ("lo", "hi"))
+    parts = np.array([-(-r["n"] // BLOCK) for r in boxes])
+    base = np.concatenate([[0], np.cumsum(parts)])
+    reach = (float(np.sqrt(max(0.0, 2 - 2 * least))) + SLACK) ** 2
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A block meets those whose range of first coordinates lies within reach of its own range.
+        # A block meets those whose boxes lie within reach of its own leaf's box.
         for batch in batches:
-            own = np.searchsorted(cuts, batch.column(3).to_numpy(), "right")
+            leaf = np.array([number[k] for k in batch.column(3).to_pylist()], np.int64)
+            own = base[leaf] + mixed(batch.column(0).to_numpy().view(np.uint64), 5).astype(np.int64) % parts[leaf] if len(leaf) else leaf
             for block in np.unique(own):
                 some = batch.filter(pa.array(own == block))
-                others = np.flatnonzero((low <= high[block] + reach) & (high >= low[block] - reach))
-                for other in others:
+                k = int(np.searchsorted(base, block, "right")) - 1
+                apart = np.maximum(0, np.maximum(low - high[k], low[k] - high))
+                near = np.flatnonzero((apart * apart).sum(1) <= reach)
+                for other in np.concatenate([np.arange(base[j], base[j + 1]) for j in near]):
                     i, j = min(block, other), max(block, other)
                     m = some.num_rows
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(m, i), pa.int32()), pa.array(np.full(m, j), pa.int32()), pa.array(np.full(m, block), pa.int32()), *some.columns[:3]], names=["i", "j", "block", "rep", "copies", "vec"])
 
-    pairs = placed.mapInArrow(dealt, "i int, j int, block int, rep long, copies long, vec binary")
+    pairs = placed.select("rep", "copies", "vec", "leaf").mapInArrow(dealt, "i int, j int, block int, rep long, copies long, vec binary")
 
     def compare(t: pa.Table) -> pa.Table:
         block, rep, copies = (t.column(c).to_numpy() for c in ("block", "rep", "copies"))

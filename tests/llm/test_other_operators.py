@@ -99,6 +99,17 @@ def test_near_vectors_match_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_near_vectors_that_agree_in_all_leading_coordinates(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "BLOCK", 16)
+    monkeypatch.setattr(near_vectors, "LEADING", 1)
+    x = [[1.0, 0.01 * i, 0.0] for i in range(60)] + [[0.0, 0.0, 1.0 + i] for i in range(40)]
+    got = {k.vec_id: (k.n_links, k.component_id) for k in near_vectors.near_vectors(table_of(spark, x)).collect()}
+    u = np.array(x, np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    link = u @ u.T >= 0.95
+    assert got == {i: (int(link[i].sum()) - 1, 0 if i < 60 else 60) for i in range(100)}
+
+
 def test_nearest_recall_and_odd_tables(spark, monkeypatch):
     monkeypatch.setattr(ann, "PART", 100)
     r = np.random.default_rng(1)
