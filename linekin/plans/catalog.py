@@ -544,7 +544,7 @@ def novel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_two()}, r AS (SELECT src, dst, score, rank() OVER (PARTITION BY src ORDER BY round(score, 9) DESC) AS rank FROM tf) SELECT ja.src, ja.dst, round(r.score, 6) AS score, CAST(r.rank AS INT) AS rank FROM ja LEFT JOIN r ON r.src = ja.src AND r.dst = ja.dst")
 def rank_in_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _both(spark, sf_dir)
-    return compare.rank_in(a, b.withColumn("score", F.round("score", 9))).select("src", "dst", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+    return compare.rank_in(a, b).select("src", "dst", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"WITH {_two()} SELECT count(*) AS directed, count(DISTINCT least(src, dst) || '|' || greatest(src, dst)) AS undirected FROM ja")
