@@ -379,3 +379,42 @@ def test_five_lists_match_plain_ones(spark, tmp_path):
     assert fused and all(abs(passed[p] - s) < 1e-8 for p, s in fused.items())
     for a in {a for a, _ in passed}:
         assert sum(p[0] == a for p in fused) == min(20, sum(p[0] == a for p in passed))
+
+
+def test_cells_with_all_probes_are_exact(spark):
+    r = random.Random(3)
+    rows = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(80)], "vid long, vec array<double>")
+    exact = dense.exact_neighbours(rows, k=7)
+    found = dense.cell_neighbours(rows, k=7, cells=4, probes=4)
+    assert {(x.src, x["rank"], x.dst) for x in found.collect()} == {(x.src, x["rank"], x.dst) for x in exact.collect()}
+    assert [(x.queries, x.recall) for x in dense.recall(found, exact).collect()] == [(80, 1.0)]
+    few = dense.recall(dense.cell_neighbours(rows, k=7, cells=4, probes=1), exact).first()
+    assert 0.2 < few.recall < 1.0
+
+
+def test_cohesion_matches_a_plain_version(spark):
+    r = random.Random(7)
+    names = [f"v{i:02d}" for i in range(30)]
+    member = {c: sorted(r.sample(names, r.randint(2, 9))) for c in range(6)}
+    score = {(a, b): round(r.random(), 3) for a in names for b in r.sample(names, 6) if a != b}
+    got = stats.cohesion(spark.createDataFrame([(c, v) for c, m in member.items() for v in m], "cluster_id long, vid string"), spark.createDataFrame([(a, b, s) for (a, b), s in score.items()], "src string, dst string, rrf double"), reach=3, heads=2).first()
+    means = []
+    for m in member.values():
+        own = [score.get((m[i], m[j]), score.get((m[j], m[i]), 0.0)) for i in range(len(m)) for j in range(i + 1, min(i + 3, len(m)))]
+        means.append(sum(own) / len(own))
+    out = [s for m in member.values() for v in m[:2] for (a, b), s in score.items() if a == v and b not in m]
+    assert abs(got.intra_mean - np.mean(means)) < 1e-9 and abs(got.intra_median - np.median(means)) < 1e-9 and abs(got.inter_mean - np.mean(out)) < 1e-9
+    assert abs(got.ratio - np.mean(means) / np.mean(out)) < 1e-9
+
+
+def test_bootstrap_matches_plain_resamples(spark):
+    rows = spark.createDataFrame([(True, True)] * 30 + [(True, False)] * 10 + [(False, True)] * 5 + [(False, False)] * 55, "positive boolean, predicted boolean")
+    plain = []
+    for i in range(300):
+        tp, fp, fn, _ = np.random.default_rng([42, i]).multinomial(100, [0.3, 0.05, 0.1, 0.55])
+        p, q = tp / max(tp + fp, 1), tp / max(tp + fn, 1)
+        plain.append((p, q, 2 * p * q / (p + q) if p + q else 0.0))
+    want = {m: tuple(np.quantile([x[k] for x in plain], [0.025, 0.975])) for k, m in enumerate(("precision", "recall", "f1"))}
+    for x in evaluate.bootstrap(rows, 300).collect():
+        assert np.allclose((x.low, x.high), want[x.measure])
+    assert abs(evaluate.chi2_p(3.841459) - 0.05) < 1e-6
