@@ -16,7 +16,8 @@ product of the original vectors in double precision, ties by the smaller id.
 Recall against brute force, measured on the test tables: see the README; the parameters are those it was measured with.
 
 Vectors that are null, zero or hold null or non-finite components take no part (see ``valid_vectors``): as queries they
-have no rows. A query with fewer candidates than k has fewer rows. Repeated ids are one query each, and one of the k places each; extra columns are not
+have no rows, nor have ids that are null. A query with fewer candidates than k has fewer rows. Repeated ids are one query
+each, and one of the k places each; rows of one id that differ are one query and one candidate with the best of their scores. Extra columns are not
 read; an empty table gives no rows.
 """
 

@@ -40,3 +40,10 @@ def test_longer_vectors_are_found(spark):
     assert recall(spark, list(zip(ids, x.tolist(), strict=True)), ids, x) >= 0.95
     x *= np.exp(0.5 * r.standard_normal((2000, 1)))
     assert recall(spark, list(zip(ids, x.tolist(), strict=True)), ids, x) >= 0.95
+
+
+def test_ids_that_repeat_or_are_null(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.8]), (None, [5.0, 5.0]), (3, [0.0, 0.2]), (3, [0.3, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(table, F.col("vec_id") == 0, 20).orderBy("rank").collect()
+    assert [(x.query_id, x["rank"], x.vec_id, round(x.score, 9)) for x in got] == [(0, 1, 1, 0.9), (0, 2, 2, 0.8), (0, 3, 3, 0.3)]
