@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linekin.llm.common import small, stored
+from linekin.llm.common import drop_stored, small, stored
 from linekin.operators.graph import components
 
 MIN_CHARS = 20
@@ -253,6 +253,9 @@ def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS) -> tuple[DataFrame
     whole = F.lit(1 << 32).cast("decimal(10,0)")
     distinct = distinct.withColumn("pos", F.pmod(F.col("first"), whole).cast("int")).withColumn("doc_id", ((F.col("first") - F.pmod(F.col("first"), whole)) / whole).cast("long"))
     distinct = stored(distinct, "distinct-lines")
+    # The keys of the occurrences have done their work.
+    wide, occ = occ, stored(occ.select("doc_id", "pos", "h1", "h2"), "line-occurrences")
+    drop_stored(wide)
     top = stored(near_lines(docs, distinct, max_edits), "line-tops")
     marked = distinct.select("h1", "h2", "first", "copies").join(_few(top), F.col("first") == F.col("node"), "left").where("copies > 1 or component is not null")
     return occ, marked.select("h1", "h2", F.coalesce("component", "first").alias("top"), F.col("component").isNotNull().alias("near"))
