@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Remembered stretches, at most, and their longest; remembered pairs, at most.
-REMEMBERED, SHORT, PAIRS = 300_000, 40, 500_000
+#: Remembered stretches of one generation (the one before is kept beside it), and their longest; remembered pairs, at most.
+REMEMBERED, SHORT, PAIRS = 500_000, 40, 500_000
 #: Characters of a slice of a text, about.
 SLICE = 1 << 16
 #: Places between two looks for a common boundary.
@@ -77,6 +77,7 @@ class Pieces:
         self.splits: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def split(self, piece: int) -> tuple[int, int] | None:
         """The two pieces of the last merge that makes a piece; None for a character, or if merging never makes it."""
@@ -228,14 +229,18 @@ class Pieces:
         except KeyError:
             pass
         if len(memo) > REMEMBERED:
-            memo.clear()
+            self.old, self.memo = memo, {}
+            memo = self.memo
+        old = self.old
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
         out = []
         for unit in units:
             ids = memo.get(unit)
             if ids is None:
-                ids = self.encode_unit(unit)
+                ids = old.get(unit)
+                if ids is None:
+                    ids = self.encode_unit(unit)
                 if len(unit) <= SHORT:
                     memo[unit] = ids
             out.append(ids)
