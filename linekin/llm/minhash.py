@@ -216,16 +216,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return _met(pairs, texts, {"text": "t"}).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _tiled(members: DataFrame) -> DataFrame:
+def _tiled(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between different components of a bucket's members, enough to join all components that are linked there.
 
     Two blocks of a bucket meet in one task. Of the buckets that a pair shares, the one with the least key compares it.
     """
+    # Blocks are dealt on ids; sketches and texts come to the tiles by the members' own ids.
+    members = stored(members.join(texts.select("rep", "n_shingles"), "rep").select("key", "rep", "component", "n_shingles"), "tile-members")
     sums = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
     blocks = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("m") / TILE_SHINGLES)).cast("int")
-    rows = members.join(sums.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sums = small(stored(sums.select("key", blocks.alias("blocks")), "tile-blocks"))
+    rows = members.drop("n_shingles").join(sums, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "fine", "bands", "text")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
+    rows = rows.join(texts, "rep").select("key", "i", "j", "block", "rep", "component", "n_shingles", "fine", "bands", "text")
 
     def run(t: pa.Table) -> pa.Table:
         block, rep, comp, size = (t.column(c).to_numpy() for c in ("block", "rep", "component", "n_shingles"))
@@ -293,9 +297,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # What the hubs left: members of one bucket in different components.
     labelled = members.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = labelled.drop("bands").join(split, "key").where("n > 2")
-    open_ = open_.join(texts.select("rep", "n_shingles", "fine", "bands", "text"), "rep")
-    links = links.union(stored(_tiled(open_), "tile-links"))
+    open_ = labelled.drop("bands").join(split, "key").where("n > 2").select("key", "rep", "component")
+    links = links.union(stored(_tiled(open_, texts), "tile-links"))
     top = components(links)
     by_set = reps.select("k1", "k2", "n_shingles", "rep").join(top.withColumnRenamed("node", "rep"), "rep", "left")
     by_set = by_set.select("k1", "k2", F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("_component"))
