@@ -418,3 +418,41 @@ def test_bootstrap_matches_plain_resamples(spark):
     for x in evaluate.bootstrap(rows, 300).collect():
         assert np.allclose((x.low, x.high), want[x.measure])
     assert abs(evaluate.chi2_p(3.841459) - 0.05) < 1e-6
+
+
+@pytest.mark.parametrize("options", [{}, {"exclude_same_poem": True}, {"exclude_adjacent": True}, {"exclude_same_poem": True, "exclude_first": False}, {"dedup": False}])
+def test_neighbour_lists_match_pairs_that_are_ranked_whole(spark, monkeypatch, options):
+    """Several groups and chunks, many copies and ties; only as many sets as a list needs are kept for each."""
+    from linekin.operators import neighbours as N
+
+    monkeypatch.setattr(N, "GROUP", 16)
+    monkeypatch.setattr(N, "CHUNK", 8)
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(14)]
+    texts = [" ".join(draw.sample(words, draw.randint(2, 6))) for _ in range(60)] * 2
+    rows = [(f"p{i // 6}:{i % 6}", f"p{i // 6}", i % 6, t.upper() if i % 3 else t, "en" if i % 2 else None) for i, t in enumerate(texts)]
+    v = spark.createDataFrame(rows, "vid string, poem_id string, idx int, text string, lang string")
+    toks = S.tokens(v)
+    w = S.weighted(toks, S.vocabulary(toks, min_df=1, max_share=1.0))
+    pairs, members = S.set_pairs(w, tuple(S.FLOORS))
+    members = S.described(v, members)
+    got = N.neighbour_lists(v, w, tuple(S.FLOORS), k=5, over=2, **options)
+    for m in S.FLOORS:
+        want = S.top_neighbours(pairs.where(F.col("measure") == m), members, k=5, over=2, **options)
+        plain = lambda df: sorted((r.src, r["rank"], r.dst, round(r.score, 9), r.mtype) for r in df.collect())
+        assert plain(got.where(F.col("measure") == m)) == plain(want)
+
+
+def test_lists_of_lines_write_no_table_of_pairs(spark, monkeypatch):
+    from linekin.plans import catalog as C
+    from linekin.plans import storage
+
+    written: list[int] = []
+    new_path = storage.new_path
+    monkeypatch.setattr(storage, "new_path", lambda s, what: written.append(new_path(s, what)) or written[-1])
+    rows = [(f"{d}:{i}", str(d), i, f"moon river stone a{d % 5} b{i}", "en") for d in range(60) for i in range(4)]
+    v = spark.createDataFrame(rows, "vid string, poem_id string, idx int, text string, lang string")
+    toks = S.tokens(v)
+    top = C.legs(v, S.weighted(toks, S.vocabulary(toks, min_df=1, max_share=1.0)), ("jaccard",), k=3, exclude_same_poem=True)["jaccard"]
+    assert top.count() == 240 * 3
+    assert max(spark.read.parquet(p).count() for p in written) <= 240 * 3
