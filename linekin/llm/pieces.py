@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Remembered stretches of one generation (the one before is kept beside it), and their longest; remembered pairs, at most.
-REMEMBERED, SHORT, PAIRS = 500_000, 40, 500_000
+REMEMBERED, SHORT, PAIRS = 250_000, 40, 250_000
 #: Characters of a slice of a text, about.
 SLICE = 1 << 16
 #: Places between two looks for a common boundary.
@@ -79,6 +79,11 @@ class Pieces:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def rest(self) -> None:
+        """Between tasks: gives back what may be large, as a worker that waits keeps its memory beside the workers of other queries."""
+        self.old = {}
+        self.pairs.clear()
+
     def split(self, piece: int) -> tuple[int, int] | None:
         """The two pieces of the last merge that makes a piece; None for a character, or if merging never makes it."""
         if piece not in self.splits:
@@ -283,6 +288,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                 flat = np.concatenate(rows).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", "ids"])
+        model.rest()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
@@ -327,5 +333,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     for column, value in zip(columns, (tokens, crc, max(chars - 1, 0), same), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "n_chars", "same"])
+        model.rest()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_crc32 long, n_chars long, same boolean")

@@ -32,3 +32,17 @@ def test_files_that_cut_another_way_go_to_the_library(tmp_path):
         path.write_text(json.dumps(file | change))
         own, lib = Encoder(str(path)), Tokenizer.from_file(str(path))
         assert [x.tolist() for x in own.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_worker_that_waits_keeps_one_generation_of_stretches(spark):
+    """The pipeline's first stage shares executors with workers that the last stage of the run before has left."""
+    import public_tokenizers
+
+    from linekin.llm import pieces as P
+
+    assert 2 * P.REMEMBERED <= 500_000
+    model = P.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    before = model.encode("moon river stone").tolist()
+    model.old, model.pairs[1] = {"x": b""}, True
+    model.rest()
+    assert not model.old and not model.pairs and model.encode("moon river stone").tolist() == before
