@@ -469,3 +469,16 @@ def test_cells_are_compared_in_blocks_and_not_in_a_join(spark, monkeypatch):
     assert "Join" not in plan
     want = [(i, r, int(j)) for i in range(90) for r, j in enumerate(np.argsort(-np.where(np.arange(90) == i, -9, x @ x[i]), kind="stable")[:7])]
     assert sorted((r.src, r["rank"], r.dst) for r in found.collect()) == want
+
+
+def test_groups_of_lists_read_the_sets_without_a_shuffle_and_each_in_its_own_task(spark, monkeypatch):
+    from linekin.operators import neighbours as N
+
+    monkeypatch.setattr(N, "GROUP", 16)
+    rows = [(f"{d}:0", str(d), 0, f"moon river stone{d} a{d % 5}", "en") for d in range(80)]
+    v = spark.createDataFrame(rows, "vid string, poem_id string, idx int, text string, lang string")
+    toks = S.tokens(v)
+    lists = N.neighbour_lists(v, S.weighted(toks, S.vocabulary(toks, min_df=1, max_share=1.0)), ("jaccard",), k=3)
+    assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
+    by_task = lists.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("src").alias("n")).collect()
+    assert len(by_task) == 5 and sum(r.n for r in by_task) == 80
