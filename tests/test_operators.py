@@ -408,6 +408,17 @@ def test_cohesion_matches_a_plain_version(spark):
     assert abs(got.ratio - np.mean(means) / np.mean(out)) < 1e-9
 
 
+def test_cohesion_counts_all_clusters_pairs_and_members(spark):
+    r = random.Random(8)
+    names = [f"v{i:02d}" for i in range(60)]
+    member = {c: sorted(r.sample(names, 30 if c < 2 else 2)) for c in range(1003)}
+    score = {(a, b): round(r.random(), 3) for a in names for b in r.sample(names, 9) if a != b}
+    got = stats.cohesion(spark.createDataFrame([(c, v) for c, m in member.items() for v in m], "cluster_id long, vid string"), spark.createDataFrame([(a, b, s) for (a, b), s in score.items()], "src string, dst string, rrf double")).first()
+    means = [np.mean([score.get((a, b), score.get((b, a), 0.0)) for i, a in enumerate(m) for b in m[i + 1 :]]) for m in member.values()]
+    out = [s for m in member.values() for (a, b), s in score.items() if a in m and b not in m]
+    assert abs(got.intra_mean - np.mean(means)) < 1e-9 and abs(got.intra_median - np.median(means)) < 1e-9 and abs(got.inter_mean - np.mean(out)) < 1e-9
+
+
 def test_bootstrap_matches_plain_resamples(spark):
     rows = spark.createDataFrame([(True, True)] * 30 + [(True, False)] * 10 + [(False, True)] * 5 + [(False, False)] * 55, "positive boolean, predicted boolean")
     plain = []
