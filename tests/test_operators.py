@@ -72,6 +72,27 @@ def test_merging(spark):
     assert {x.cluster_id for x in cluster.merged(df).collect()} == {0, 3}
 
 
+def test_merging_is_among_all_clusters(spark):
+    def plain(items, least):
+        into, live = {i: i for i, _ in items}, [(i, set(m)) for i, m in items]
+        for k, (i, own) in enumerate(live):
+            for j, other in live[k + 1 :] if into[i] == i else []:
+                if into[j] == j and len(own & other) / min(len(own), len(other)) >= least:
+                    own |= other
+                    into[j] = i
+        return into
+
+    r = random.Random(3)
+    for least in (0.1, 0.3, 0.5, 1.0):
+        for n in (5, 40, 120):
+            items = [(3 * i, {f"v{x}" for x in r.sample(range(n), r.randint(1, 5))}) for i in range(n)]
+            assert cluster.merge_sets(items, least) == plain(items, least)
+    pairs = spark.range(5004).select(F.col("id").alias("cluster_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    vid = F.concat(F.lit("v"), (F.when(F.col("cluster_id") == 5003, 5001).when(F.col("cluster_id") == 5001, 4).otherwise(F.col("cluster_id")) + F.col("i") * 10_000).cast("string"))
+    got = cluster.merged(pairs.select("cluster_id", vid.alias("vid")))
+    assert {x.cluster_id for x in got.select("cluster_id").distinct().collect()} == set(range(5004)) - {5001}
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(1)
     names = list(range(400))
