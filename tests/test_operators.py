@@ -440,6 +440,21 @@ def test_cohesion_counts_all_clusters_pairs_and_members(spark):
     assert abs(got.intra_mean - np.mean(means)) < 1e-9 and abs(got.intra_median - np.median(means)) < 1e-9 and abs(got.inter_mean - np.mean(out)) < 1e-9
 
 
+def test_links_are_followed_in_rounds_and_at_once(spark, monkeypatch):
+    r = random.Random(2)
+    rows = [(i, i + 1) for i in range(90)] + [(r.randint(200, 400), r.randint(200, 400)) for _ in range(120)] + [(500, 500)]
+    links = spark.createDataFrame(rows, "a long, b long")
+    found = []
+    for few in (1 << 17, 40, 0):
+        monkeypatch.setattr("linekin.operators.graph.FEW", few)
+        found.append({(x.node, x.component) for x in components(links).collect()})
+    assert found[0] == found[1] == found[2] and {(i, 0) for i in range(91)} <= found[0]
+
+
+def test_small_components_share_a_group(spark):
+    assert cluster.dealt(spark.range(10_000).select(F.col("id").cast("string").alias("component"))).select("group").distinct().count() <= 2048
+
+
 def test_bootstrap_matches_plain_resamples(spark):
     rows = spark.createDataFrame([(True, True)] * 30 + [(True, False)] * 10 + [(False, True)] * 5 + [(False, False)] * 55, "positive boolean, predicted boolean")
     plain = []
