@@ -455,6 +455,17 @@ def test_small_components_share_a_group(spark):
     assert cluster.dealt(spark.range(10_000).select(F.col("id").cast("string").alias("component"))).select("group").distinct().count() <= 2048
 
 
+@pytest.mark.parametrize(("name", "measures"), [("score_buckets", ["jaccard"])])
+def test_only_lists_that_are_asked_for_are_made(spark, sf_dir, monkeypatch, name, measures):
+    from linekin.operators import neighbours
+    from linekin.plans.catalog import QUERIES
+
+    made, lists = [], neighbours.bag_lists
+    monkeypatch.setattr(neighbours, "bag_lists", lambda rows, m, *a, **b: made.extend(m) or lists(rows, m, *a, **b))
+    QUERIES[name](spark, sf_dir).count()
+    assert made == measures
+
+
 def test_bootstrap_matches_plain_resamples(spark):
     rows = spark.createDataFrame([(True, True)] * 30 + [(True, False)] * 10 + [(False, True)] * 5 + [(False, False)] * 55, "positive boolean, predicted boolean")
     plain = []
